@@ -1,0 +1,6 @@
+"""Importing this package registers every query."""
+
+from rosterlab.catalog import scalars  # noqa: F401
+from rosterlab.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

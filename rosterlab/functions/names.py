@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterlab import constants as C
 
@@ -128,12 +129,13 @@ def name_similarity(left: Column, right: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.least(ratio + boost, F.lit(1.0)))
 
 
-@F.pandas_udf("double")
-def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    ratios = (
-        None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)
-    )
-    return pd.Series(list(ratios), dtype="float64")
+def _sequence_ratio(left: Column, right: Column) -> Column:
+    # Nested, so it is shipped by value and the workers need not have this package on their path.
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = zip(a, b, strict=True)
+        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in pairs], dtype="float64")
+
+    return F.pandas_udf(ratio, T.DoubleType())(left, right)
 
 
 def sequence_similarity(left: Column, right: Column) -> Column:

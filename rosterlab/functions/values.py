@@ -16,8 +16,8 @@ def to_number(value: Column) -> Column:
 def exact_ratio(numerator: Column, denominator: Column, digits: int) -> Column:
     """``numerator / denominator`` of non-negative whole numbers, rounded half up without a float in between."""
     scale = 10**digits
-    top, bottom = numerator.cast("decimal(38,0)"), denominator.cast("decimal(38,0)")
-    scaled = F.floor((top * (2 * scale) + bottom) / (bottom * 2))
+    top, bottom = numerator.cast("bigint"), denominator.cast("bigint")
+    scaled = F.call_function("div", top * (2 * scale) + bottom, bottom * 2)
     return F.when(bottom > 0, scaled.cast("double") / float(scale))
 
 
