@@ -21,8 +21,8 @@ TEAM_SPELLINGS = {1: "JAC", 2: "WSH", 3: "LA", 4: "OAK", 5: "SD", 6: "ARZ", 7: "
 
 
 def _team(number: str, codes: dict[int, str] = TEAM_CODES) -> str:
-    cases = " ".join(f"WHEN {n} THEN '{code}'" for n, code in codes.items())
-    return f"CASE {number} {cases} ELSE 'T' || chr(CAST(64 + {number} AS INT)) END"
+    names = ",".join(codes.get(n, "T" + chr(64 + n)) for n in range(1, 26))
+    return f"split_part('{names}', ',', CAST({number} AS INT))"
 
 
 def _opponent_number(number: str) -> str:
@@ -101,6 +101,14 @@ VIEWS: dict[str, str] = {
         FROM (SELECT *, {_team('(brand_no + brand_no % 2 - 1)', TEAM_SPELLINGS)} AS away,
                      {_team('(brand_no + brand_no % 2)', TEAM_SPELLINGS)} AS home
               FROM v_parts)""",
+    "v_quality_pool": """
+        SELECT slate_id, p_partkey AS player_id, p_name || ' ' || CAST(p_partkey AS STRING) AS name,
+               CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE pos END AS pos,
+               CASE WHEN p_partkey % 29 = 0 THEN 'n/a' WHEN p_partkey % 41 = 0 THEN NULL ELSE CAST(salary AS STRING) END AS salary,
+               CASE WHEN p_partkey % 19 = 0 THEN 100001 + p_partkey ELSE 100000 + p_partkey END AS entity_id,
+               CASE WHEN slate_id % 3 = 1 THEN proj_points WHEN p_partkey % 53 = 0 THEN NULL WHEN slate_id % 3 = 2 AND p_partkey % 5 = 0 THEN 0
+                    WHEN p_partkey % 61 = 0 THEN -1 ELSE proj_points END AS proj_points
+        FROM v_parts""",
     "v_crosswalk": f"""
         SELECT CASE WHEN p_partkey % 13 = 0 THEN 'other_site' ELSE 'draftkings' END AS source_name,
                CAST(p_partkey AS STRING) AS external_id,
