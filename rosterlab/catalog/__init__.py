@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
-from rosterlab.catalog import identity, pool, scalars  # noqa: F401
+from rosterlab.catalog import identity, lineups, pool, scalars  # noqa: F401
 from rosterlab.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rosterlab import constants as C
 from rosterlab.functions.values import exact_ratio, points_per_k, to_number
 from rosterlab.operators.keyed import running_number, top_per_key
+from rosterlab.session import cut_lineage
 
 LINEUP_KEY = ["contest_id", "lineup"]
 RECEIVERS = ("WR", "TE")
@@ -302,7 +303,7 @@ def lineup_rule_audit(
 
 # --- pairwise overlap ------------------------------------------------------------------------------------------
 
-PAIRWISE_LIMIT = 600  # contests above this size are counted by shared subsets instead of by pairs
+PAIRWISE_LIMIT = 2000  # contests above this size are counted by shared subsets instead of by pairs
 SUBSET_PLAYERS = 12  # largest lineup whose subsets are enumerated
 
 
@@ -310,14 +311,18 @@ def _members(lineups: DataFrame) -> DataFrame:
     return lineups.select(*LINEUP_KEY, "player_id").distinct()
 
 
-def _routed(lineups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(small, large) contests' members: small ones are compared by pairs, large ones by shared subsets."""
+def _routed(lineups: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(small, large) contests' members: small ones are compared by pairs, large ones by shared subsets.
+
+    The members are written once because every later step reads them; ``large`` is None when no contest is large.
+    """
     members = _members(lineups)
     widths = members.groupBy(*LINEUP_KEY).agg(F.count("*").alias("width"))
     sizes = widths.groupBy("contest_id").agg(F.count("*").alias("n"), F.max("width").alias("widest"))
     by_subset = (F.col("n") > PAIRWISE_LIMIT) & (F.col("widest") <= SUBSET_PLAYERS)
-    marked = members.join(sizes.select("contest_id", by_subset.alias("_large")), "contest_id")
-    return marked.filter(~F.col("_large")).drop("_large"), marked.filter("_large").drop("_large")
+    marked = cut_lineage(members.join(sizes.select("contest_id", by_subset.alias("_large")), "contest_id"))
+    large = marked.filter("_large").drop("_large")
+    return marked.filter(~F.col("_large")).drop("_large"), None if large.isEmpty() else large
 
 
 def _player_sets(members: DataFrame) -> DataFrame:
@@ -338,7 +343,7 @@ def _pair_overlaps(members: DataFrame) -> DataFrame:
 
 def _subsets(sets: DataFrame, *carried: str) -> DataFrame:
     """Every non-empty subset of each lineup's players."""
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("players")) - 1)
+    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("players")) - 1)
     exploded = sets.select("contest_id", *carried, "players", F.explode(masks).alias("_mask"))
     members = F.filter("players", lambda _, i: F.getbit(F.col("_mask"), i) == 1)
     return exploded.select("contest_id", *carried, members.alias("subset"))
@@ -353,71 +358,102 @@ def _from_moments(moments: list[Column], size: int) -> list[Column]:
     return exact
 
 
-def _subset_histogram(sets: DataFrame) -> DataFrame:
-    """(contest_id, shared, pairs) without forming pairs: C(n,2) over the lineups of each player subset."""
-    counted = _subsets(sets).groupBy("contest_id", "subset").agg(F.count("*").alias("n"))
-    by_size = counted.filter(F.col("n") > 1).select(
-        "contest_id", F.size("subset").alias("t"), (F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)").alias("pairs")
-    )
-    empty = sets.groupBy("contest_id").agg(F.count("*").alias("n")).select(
-        "contest_id", F.lit(0).alias("t"), (F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)").alias("pairs")
-    )
-    moments = empty.unionByName(by_size).groupBy("contest_id").agg(
-        *[F.coalesce(F.sum(F.when(F.col("t") == t, F.col("pairs"))), F.lit(0)).cast("decimal(38,0)").alias(f"b{t}") for t in range(SUBSET_PLAYERS + 1)]
+def _exact_overlaps(large: DataFrame) -> DataFrame:
+    """Per lineup the number of partners n0..n12 that share exactly that many players, without forming pairs.
+
+    A lineup's t-player subsets, each counted over the other lineups that hold it, sum to the partners weighted by
+    C(shared, t); inclusion-exclusion turns these moments into exact counts.
+    """
+    sets = _player_sets(large)
+    shared = _subsets(sets).groupBy("contest_id", "subset").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    held = _subsets(sets, "lineup").join(shared, ["contest_id", "subset"])
+    sums = held.groupBy(*LINEUP_KEY).agg(
+        *[
+            F.coalesce(F.sum(F.when(F.size("subset") == t, F.col("n") - 1)), F.lit(0)).cast("bigint").alias(f"b{t}")
+            for t in range(1, SUBSET_PLAYERS + 1)
+        ]
     )
+    sizes = sets.groupBy("contest_id").agg((F.count("*") - 1).alias("b0"))
+    moments = sets.select(*LINEUP_KEY).join(sums, LINEUP_KEY, "left").fillna(0).join(sizes, "contest_id")
     exact = _from_moments([F.col(f"b{t}") for t in range(SUBSET_PLAYERS + 1)], SUBSET_PLAYERS)
-    rows = F.array(*[F.struct(F.lit(j).cast("bigint").alias("shared"), e.cast("bigint").alias("pairs")) for j, e in enumerate(exact)])
-    return moments.select("contest_id", F.inline(rows)).filter(F.col("pairs") > 0)
+    return cut_lineage(moments.select(*LINEUP_KEY, *[e.alias(f"n{j}") for j, e in enumerate(exact)]))
+
+
+def _histogram_of(partners: DataFrame) -> DataFrame:
+    """(contest_id, shared, pairs) from per-lineup partner counts; every pair is counted from both sides."""
+    columns = [f"n{j}" for j in range(SUBSET_PLAYERS + 1)]
+    totals = partners.groupBy("contest_id").agg(*[F.sum(c).alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(j).cast("bigint").alias("shared"), (F.col(c) / 2).cast("bigint").alias("pairs")) for j, c in enumerate(columns)])
+    return totals.select("contest_id", F.inline(rows)).filter(F.col("pairs") > 0)
 
 
 def lineup_overlap(lineups: DataFrame) -> DataFrame:
     """Per contest, how many lineup pairs share exactly ``shared`` players; uniques = 18 - 2 x shared.
 
     Small contests count the pairs that share a player and obtain the zero-overlap pairs as the rest of C(n,2).  Large
-    contests never form pairs: the lineups of every player subset are counted and inclusion-exclusion gives the rest.
+    contests never form pairs, see ``_exact_overlaps``.
     """
     small, large = _routed(lineups)
     sharing = _pair_overlaps(small).groupBy("contest_id", "shared").agg(F.count("*").alias("pairs"))
-    totals = small.select(*LINEUP_KEY).distinct().groupBy("contest_id").agg(
-        (F.count("*") * (F.count("*") - 1) / 2).cast("bigint").alias("all_pairs")
-    )
-    matched = sharing.groupBy("contest_id").agg(F.sum("pairs").alias("matched"))
-    disjoint = totals.join(matched, "contest_id", "left").select(
-        "contest_id", F.lit(0).cast("bigint").alias("shared"),
-        (F.col("all_pairs") - F.coalesce("matched", F.lit(0))).alias("pairs"),
-    ).filter(F.col("pairs") > 0)
-    histogram = sharing.unionByName(disjoint).unionByName(_subset_histogram(_player_sets(large)))
+    entered = small.select(*LINEUP_KEY).distinct().groupBy("contest_id").agg(
+        F.lit(0).cast("bigint").alias("shared"), (F.count("*") * (F.count("*") - 1) / 2).cast("bigint").alias("pairs")
+    )
+    # All pairs minus the sharing ones: the sharing rows count negatively toward zero overlap.
+    zero = entered.unionByName(sharing.select("contest_id", F.lit(0).cast("bigint").alias("shared"), (-F.col("pairs")).alias("pairs")))
+    histogram = sharing.unionByName(zero.groupBy("contest_id", "shared").agg(F.sum("pairs").alias("pairs")).filter(F.col("pairs") > 0))
+    if large is not None:
+        histogram = histogram.unionByName(_histogram_of(_exact_overlaps(large)))
     return histogram.withColumn("uniques", 2 * C.ROSTER_SIZE - 2 * F.col("shared"))
 
 
-def _first_small_pair(small: DataFrame, least: DataFrame) -> DataFrame:
-    """First pair (by lineup ids) with the least overlap, for contests compared by pairs.
+def _small_summary(small: DataFrame) -> DataFrame:
+    """(contest_id, min_shared, max_shared, pair) of contests compared by pairs.
 
-    With least overlap above zero the pair is among the sharing pairs.  With zero it is found per lineup: the first
-    lineup with fewer sharing partners than others, then its first partner that is not among them.
+    The first pair with the least positive overlap comes from the sharing pairs.  A lineup with fewer sharing partners
+    than other lineups has a zero-overlap partner; the first such lineup starts the first zero-overlap pair.
     """
     pairs = _pair_overlaps(small)
-    sharing = pairs.join(least.filter(F.col("min_shared") > 0), "contest_id").filter(F.col("shared") == F.col("min_shared"))
-    above_zero = sharing.groupBy("contest_id").agg(F.min(F.struct("lineup_a", "lineup_b")).alias("pair"))
-    zero = least.filter(F.col("min_shared") == 0).select("contest_id")
-    candidates = small.join(zero, "contest_id", "left_semi")
+    sharing = pairs.groupBy("contest_id").agg(
+        F.max("shared").alias("max_shared"), F.min(F.struct("shared", "lineup_a", "lineup_b")).alias("least")
+    )
     both = pairs.select("contest_id", F.explode(F.array("lineup_a", "lineup_b")).alias("lineup"))
     partners = both.groupBy(*LINEUP_KEY).agg(F.count("*").alias("partners"))
-    entered = candidates.select(*LINEUP_KEY).distinct()
+    entered = small.select(*LINEUP_KEY).distinct()
     sizes = entered.groupBy("contest_id").agg(F.count("*").alias("n"))
     first = (
         entered.join(partners, LINEUP_KEY, "left").join(sizes, "contest_id")
         .filter(F.coalesce("partners", F.lit(0)) < F.col("n") - 1)
         .groupBy("contest_id").agg(F.min("lineup").alias("first"), F.lit(0).cast("bigint").alias("wanted"))
     )
-    return above_zero.unionByName(_partner_of_first(candidates, first))
+    zero = _partner_of_first(small, first)
+    joined = sizes.filter(F.col("n") > 1).join(sharing, "contest_id", "left").join(zero, "contest_id", "left")
+    least_pair = F.struct(F.col("least.lineup_a").alias("lineup_a"), F.col("least.lineup_b").alias("lineup_b"))
+    return joined.select(
+        "contest_id",
+        F.when(F.col("pair").isNotNull(), F.lit(0).cast("bigint")).otherwise(F.col("least.shared")).alias("min_shared"),
+        F.coalesce("max_shared", F.lit(0).cast("bigint")).alias("max_shared"),
+        F.coalesce("pair", least_pair).alias("pair"),
+    )
+
+
+def _large_summary(large: DataFrame) -> DataFrame:
+    """The same for contests counted by subsets: the first lineup with a partner at the least overlap, then the partner."""
+    partners = _exact_overlaps(large)
+    extremes = _histogram_of(partners).groupBy("contest_id").agg(
+        F.min("shared").alias("min_shared"), F.max("shared").alias("max_shared")
+    )
+    counts = F.array(*[F.col(f"n{j}") for j in range(SUBSET_PLAYERS + 1)])
+    first = (
+        partners.join(extremes, "contest_id")
+        .filter(F.element_at(counts, (F.col("min_shared") + 1).cast("int")) > 0)
+        .groupBy("contest_id").agg(F.min("lineup").alias("first"), F.min("min_shared").alias("wanted"))
+    )
+    return extremes.join(_partner_of_first(large, first), "contest_id")
 
 
 def _partner_of_first(members: DataFrame, first: DataFrame) -> DataFrame:
     """First later lineup whose overlap with the contest's lineup ``first`` is ``wanted``; linear in the contest."""
-    chosen = members.join(first, (members["contest_id"] == first["contest_id"]) & (members["lineup"] == first["first"])).select(
-        first["contest_id"], "player_id"
-    )
+    chosen = members.join(first.select("contest_id", F.col("first").alias("lineup")), LINEUP_KEY).select("contest_id", "player_id")
     shared = members.join(chosen, ["contest_id", "player_id"]).groupBy(*LINEUP_KEY).agg(F.count("*").alias("shared"))
     later = members.select(*LINEUP_KEY).distinct().join(first, "contest_id").filter(F.col("lineup") > F.col("first"))
     hits = later.join(shared, LINEUP_KEY, "left").filter(F.coalesce("shared", F.lit(0)) == F.col("wanted"))
@@ -426,36 +462,16 @@ def _partner_of_first(members: DataFrame, first: DataFrame) -> DataFrame:
     )
 
 
-def _first_large_pair(large: DataFrame, least: DataFrame) -> DataFrame:
-    """The same for contests counted by subsets: the first lineup with a partner at the least overlap, then the partner."""
-    sets = _player_sets(large)
-    counted = _subsets(sets).groupBy("contest_id", "subset").agg(F.count("*").alias("n"))
-    held = _subsets(sets, "lineup").join(counted.filter(F.col("n") > 1), ["contest_id", "subset"])
-    sums = held.groupBy(*LINEUP_KEY).agg(
-        *[F.coalesce(F.sum(F.when(F.size("subset") == t, F.col("n") - 1)), F.lit(0)).alias(f"b{t}") for t in range(1, SUBSET_PLAYERS + 1)]
-    )
-    sizes = sets.groupBy("contest_id").agg((F.count("*") - 1).alias("b0"))
-    per_lineup = sets.select(*LINEUP_KEY).join(sums, LINEUP_KEY, "left").fillna(0).join(sizes, "contest_id").join(least, "contest_id")
-    exact = _from_moments([F.col(f"b{t}") for t in range(SUBSET_PLAYERS + 1)], SUBSET_PLAYERS)
-    at_least = F.element_at(F.array(*exact), (F.col("min_shared") + 1).cast("int"))
-    first = per_lineup.filter(at_least > 0).groupBy("contest_id").agg(
-        F.min("lineup").alias("first"), F.min("min_shared").alias("wanted")
-    )
-    return _partner_of_first(large, first)
-
-
 def overlap_summary(lineups: DataFrame) -> DataFrame:
     """Per contest the least overlap, the least uniques and the first pair with the least overlap.
 
     A contest with one lineup gives 0, 9 and no pair.
     """
-    extremes = lineup_overlap(lineups).groupBy("contest_id").agg(
-        F.min("shared").alias("min_shared"), F.max("shared").alias("max_shared")
-    )
     small, large = _routed(lineups)
-    pairs = _first_small_pair(small, extremes).unionByName(_first_large_pair(large, extremes))
-    contests = lineups.select("contest_id").distinct()
-    joined = contests.join(extremes, "contest_id", "left").join(pairs, "contest_id", "left")
+    summary = _small_summary(small)
+    if large is not None:
+        summary = summary.unionByName(_large_summary(large))
+    joined = lineups.select("contest_id").distinct().join(summary, "contest_id", "left")
     return joined.select(
         "contest_id",
         F.coalesce("min_shared", F.lit(0)).cast("bigint").alias("min_pair_overlap"),
