@@ -96,6 +96,7 @@ def score_players(features: DataFrame, models: dict[str, PipelineModel] | None =
     be applied (for example because features are missing) gets its recent average.
     """
     models = models or {}
+    features = features.drop("proj_points")
     scored: dict[str, DataFrame] = {}
     kept = list(features.columns)
     for pos in C.POSITIONS:

@@ -14,13 +14,13 @@ LINEUP_FILE_COLUMNS = ["name", "pos", "team", "salary", "proj_points", "lineup_k
 
 
 def scan_lineup_files(
-    spark: SparkSession, pattern: str, columns: Sequence[str] = LINEUP_FILE_COLUMNS
+    spark: SparkSession, pattern: str, columns: Sequence[str] = LINEUP_FILE_COLUMNS, number: str = r"lineup_(\d+)", part: str = "file_name"
 ) -> DataFrame:
-    """All matching lineup files as one table; the number in the file name is the lineup id."""
+    """All matching lineup files as one table; the number in the file name (or path) is the lineup id."""
     files = scan_text_csv(spark, pattern, columns)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"lineup_(\d+)", 1)
+    place = F.col(f"_metadata.{part}")
     return files.select(
-        number.try_cast("bigint").alias("lineup"),
+        F.regexp_extract(place, number, 1).try_cast("bigint").alias("lineup"),
         F.col("_metadata.file_name").alias("file_name"),
         *[F.col(c).try_cast("double").alias(c) if c in ("salary", "proj_points") else F.col(c) for c in columns],
     )
