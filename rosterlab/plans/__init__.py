@@ -1,0 +1 @@
+"""End-to-end jobs: build lineups, project players, report on lineups, train models."""

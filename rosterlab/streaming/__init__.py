@@ -1,0 +1 @@
+"""Identity upserts as micro-batches."""
