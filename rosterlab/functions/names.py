@@ -23,13 +23,14 @@ def _accent_folds() -> tuple[str, str, list[tuple[str, str]]]:
             continue
         char = chr(code)
         folded = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if folded == char or not folded.isascii():
+        plain = "".join(c for c in folded if c == " " or (c.isascii() and c.isalnum()))
+        if folded == char or not plain:
             continue
-        if len(folded) == 1:
+        if len(plain) == 1:
             source.append(char)
-            target.append(folded)
-        elif folded.isalnum() and (code < 0x250 or 0xFB00 <= code <= 0xFB06):
-            ligatures.append((char, folded))
+            target.append(plain)
+        elif code < 0x250 or 0xFB00 <= code <= 0xFB06:
+            ligatures.append((char, plain))
     return "".join(source), "".join(target), ligatures
 
 
