@@ -121,15 +121,20 @@ def similarity_text(name: Column) -> Column:
     return F.replace(F.replace(F.lower(name), F.lit("."), F.lit("")), F.lit(" "), F.lit(""))
 
 
-def name_similarity(left: Column, right: Column) -> Column:
-    """Edit-distance ratio of two names, +0.2 when one contains the other, capped at 1."""
-    a, b = similarity_text(left), similarity_text(right)
-    longest = F.greatest(F.length(a), F.length(b))
-    ratio = 1.0 - F.levenshtein(a, b) / longest
+def _boosted(a: Column, b: Column, ratio: Column) -> Column:
     boost = F.when(a.contains(b) | b.contains(a), F.lit(0.2)).otherwise(F.lit(0.0))
     return F.when(a == b, F.lit(1.0)).otherwise(F.least(ratio + boost, F.lit(1.0)))
 
 
+def text_similarity(a: Column, b: Column) -> Column:
+    """Edit-distance ratio of two prepared texts, +0.2 when one contains the other, capped at 1."""
+    return _boosted(a, b, 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+
+
+def name_similarity(left: Column, right: Column) -> Column:
+    return text_similarity(similarity_text(left), similarity_text(right))
+
+
 def _sequence_ratio(left: Column, right: Column) -> Column:
     # Nested, so it is shipped by value and the workers need not have this package on their path.
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -139,11 +144,13 @@ def _sequence_ratio(left: Column, right: Column) -> Column:
     return F.pandas_udf(ratio, T.DoubleType())(left, right)
 
 
-def sequence_similarity(left: Column, right: Column) -> Column:
+def text_sequence_similarity(a: Column, b: Column) -> Column:
     """The same score over the longest-matching-block ratio; Arrow batches, use it after blocking."""
-    a, b = similarity_text(left), similarity_text(right)
-    boost = F.when(a.contains(b) | b.contains(a), F.lit(0.2)).otherwise(F.lit(0.0))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.least(_sequence_ratio(a, b) + boost, F.lit(1.0)))
+    return _boosted(a, b, _sequence_ratio(a, b))
+
+
+def sequence_similarity(left: Column, right: Column) -> Column:
+    return text_sequence_similarity(similarity_text(left), similarity_text(right))
 
 
 def name_traits(name: Column) -> dict[str, Column]:

@@ -44,39 +44,20 @@ def lagged_means(
     """
     inputs = {name: f"_in_{i}" for i, name in enumerate(means)}
     rows = df.select("*", *[c.alias(inputs[n]) for n, c in means.items()])
-    carried = [key, *chunk, *order, *inputs.values()]
-    descending = [F.col(c).desc() for c in order]
-    tails = top_per_key(rows.select(*carried), [key, *chunk], descending, lag, "_from_end")
-
-    # A tail row is borrowed by the next chunks of its key for as long as fewer than ``lag`` rows lie between.
-    chunk_struct = F.struct(*chunk)
-    sizes = tails.groupBy(key, *chunk).agg(F.count("*").alias("_tail_rows"))
-    following = W.partitionBy(key).orderBy(*chunk)
-    ahead = sizes
-    for step in range(1, lag + 1):
-        ahead = ahead.withColumn(f"_next_{step}", F.lead(chunk_struct, step).over(following)).withColumn(
-            f"_size_{step}", F.lead("_tail_rows", step).over(following)
-        )
-    borrowed_by = []
-    between = F.lit(0)
-    for step in range(1, lag + 1):
-        fits = F.col(f"_next_{step}").isNotNull() & (F.col("_from_end") + between <= lag)
-        borrowed_by.append(F.when(fits, F.col(f"_next_{step}")))
-        between = between + F.coalesce(F.col(f"_size_{step}"), F.lit(lag))
-    lent = tails.join(ahead, [key, *chunk]).select(
-        key, F.explode(F.array_compact(F.array(*borrowed_by))).alias("_to"),
-        F.struct(*chunk).alias("_from"), *order, *inputs.values(),
-    )
-    halo = lent.select(
-        key, *[F.col(f"_to.{c}").alias(c) for c in chunk], *order, *inputs.values(), F.col("_from"), F.lit(True).alias("_halo")
-    )
-    own = rows.withColumn("_from", chunk_struct).withColumn("_halo", F.lit(False))
-    together = own.unionByName(halo, allowMissingColumns=True)
-    frame = W.partitionBy(key, *chunk).orderBy("_from", *order).rowsBetween(-lag, -1)
-    result = together.select(
-        *df.columns, "_halo", *[F.avg(inputs[n]).over(frame).alias(n) for n in means]
-    )
-    return result.filter(~F.col("_halo")).drop("_halo")
+    carried = [*order, *inputs.values()]
+    tails = top_per_key(rows.select(key, *chunk, *carried), [key, *chunk], [F.col(c).desc() for c in order], lag, "_from_end")
+
+    # One row per chunk with its last rows, newest first; a chunk borrows from its nearest predecessors.
+    newest_first = F.sort_array(F.collect_list(F.struct("_from_end", *carried)))
+    chunks = tails.groupBy(key, *chunk).agg(newest_first.alias("_tail"))
+    history = W.partitionBy(key).orderBy(*chunk)
+    before = F.array_compact(F.array(*[F.lag("_tail", step).over(history) for step in range(1, lag + 1)]))
+    borrowed = chunks.withColumn("_before", before).select(key, *chunk, F.posexplode(F.slice(F.flatten("_before"), 1, lag)).alias("_back", "_row"))
+    halo = borrowed.select(key, *chunk, *[F.col(f"_row.{c}").alias(c) for c in carried], (F.col("_back") + 1).alias("_back"))
+    together = rows.withColumn("_back", F.lit(0)).unionByName(halo, allowMissingColumns=True)
+    frame = W.partitionBy(key, *chunk).orderBy(F.col("_back").desc(), *order).rowsBetween(-lag, -1)
+    result = together.select(*df.columns, "_back", *[F.avg(inputs[n]).over(frame).alias(n) for n in means])
+    return result.filter(F.col("_back") == 0).drop("_back")
 
 
 def rolling_features(weekly: DataFrame, columns: dict[str, str] = ROLLING_COLUMNS, **layout) -> DataFrame:

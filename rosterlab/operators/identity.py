@@ -12,6 +12,7 @@ from rosterlab import constants as C
 from rosterlab.functions import names as N
 from rosterlab.functions import values as V
 from rosterlab.operators.keyed import hashed_number, latest_per_key, top_per_key
+from rosterlab.session import cut_lineage
 
 # --- crosswalk -------------------------------------------------------------------------------------------------
 
@@ -253,12 +254,13 @@ def match_cascade(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def match_candidates(
-    unmatched: DataFrame, candidates: DataFrame, n: int = 5, threshold: float = 0.3, tiles: int = 16, similarity=N.name_similarity
+    unmatched: DataFrame, candidates: DataFrame, n: int = 5, threshold: float = 0.3, tiles: int = 16, similarity=N.text_similarity
 ) -> DataFrame:
     """Up to n suggestions per unmatched player: same position, same team when the team has any, score > threshold.
 
     Both sides are reduced to distinct name texts per block first.  Each block's candidates are cut into tiles, every
     tile keeps its own n best before the shuffle, so a large block is scored by many tasks and never gathered.
+    ``similarity`` scores two prepared texts; ``text_sequence_similarity`` is the longest-matching-block alternative.
     """
     teams = candidates.select("pos", "team").distinct().withColumn("_team_known", F.lit(True))
     scope = F.when(F.col("_team_known"), F.concat(F.lit("="), F.col("team"))).otherwise(F.lit("*"))
@@ -327,8 +329,8 @@ def upsert_players(players: DataFrame, batch: DataFrame, stamp: str = "updated_s
     New players are numbered after the highest id in the order of their name's digest, so the ids do not depend on
     partitioning.
     """
-    latest = latest_per_key(batch, ["canonical_name"], [F.col(order).desc()]).select(
-        "canonical_name", *PLAYER_FIELDS, F.col(order).alias(stamp)
+    latest = cut_lineage(
+        latest_per_key(batch, ["canonical_name"], [F.col(order).desc()]).select("canonical_name", *PLAYER_FIELDS, F.col(order).alias(stamp))
     )
     incoming = latest.select(
         "canonical_name", F.struct(*PLAYER_FIELDS, stamp).alias("_new")
@@ -399,7 +401,7 @@ def apply_new_players(tables: IdentityTables, decisions: DataFrame) -> IdentityT
         F.col("dk_name").alias("canonical_name"), first.alias("first_name"), last.alias("last_name"),
         F.col("dk_position").alias("position"), F.col("dk_team").alias("team"), F.lit(None).cast("string").alias("nfl_id"), "seq",
     )
-    players = upsert_players(tables.players, batch)
+    players = cut_lineage(upsert_players(tables.players, batch))
     ids = players.select(F.col("id").alias("player_id"), F.col("canonical_name").alias("dk_name"))
     return _link_salary_site(
         IdentityTables(players, tables.external_ids, tables.aliases), decisions.join(ids, "dk_name")
@@ -415,13 +417,13 @@ def apply_matches(tables: IdentityTables, decisions: DataFrame) -> IdentityTable
     requests = targets.select(
         F.col("nfl_name").alias("request_id"), F.col("nfl_name").alias("name"), F.lit(C.STATS_SOURCE).alias("source_name")
     )
-    found = lookup_by_name(requests, tables.players, tables.aliases).select(F.col("name").alias("nfl_name"), "player_id")
+    found = cut_lineage(lookup_by_name(requests, tables.players, tables.aliases).select(F.col("name").alias("nfl_name"), "player_id"))
     unknown = targets.join(found, "nfl_name", "left_anti")
     batch = unknown.select(
         F.col("nfl_name").alias("canonical_name"), F.lit(None).cast("string").alias("first_name"),
         F.lit(None).cast("string").alias("last_name"), "position", "team", "nfl_id", "seq",
     )
-    players = upsert_players(tables.players, batch)
+    players = cut_lineage(upsert_players(tables.players, batch))
     created = unknown.join(
         players.select(F.col("id").alias("player_id"), F.col("canonical_name").alias("nfl_name")), "nfl_name"
     )

@@ -87,7 +87,7 @@ def test_candidates_equal_brute_force(spark):
 def test_candidates_with_the_sequence_scorer(spark):
     a = spark.createDataFrame([("a1", "Brian Robinson", "RB", "WAS")], "a_id string, name string, pos string, team string")
     b = spark.createDataFrame([("b1", "B.Robinson", "RB", "WAS"), ("b2", "Q", "RB", "WAS")], "b_id string, name string, pos string, team string")
-    got = I.match_candidates(a, b, similarity=N.sequence_similarity).collect()
+    got = I.match_candidates(a, b, similarity=N.text_sequence_similarity).collect()
     assert [(r.b_id, r.similarity) for r in got] == [("b1", 0.818182)]
 
 
