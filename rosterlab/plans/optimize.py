@@ -56,6 +56,6 @@ def optimize(
         rosters = search.best_lineups(ready, **rules).withColumn("lineup", F.lit(1).cast("bigint"))
     else:
         rosters = search.generate_lineups(ready, n, seed, alpha, max_exposure, uniq_shared, **rules)
-    chosen = lineups.assign_slots(search.lineup_rows(rosters, ready))
+    chosen = cut_lineage(lineups.assign_slots(search.lineup_rows(rosters, ready)))
     audit = lineups.lineup_rule_audit(chosen, ready, cap, min_total_salary, qb_stack, max_team)
     return OptimizerResult(players, preflight, unmatched, chosen, audit)

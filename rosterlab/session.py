@@ -26,11 +26,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder, so the result survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The rows written once to the cluster's shared folder and read back.
+
+    The result survives lost executors, is computed a single time, and its size is the written files' size.  A checkpoint
+    would keep the size estimate of the plan behind it, which multiplies with every join of a staged job.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def test_session(cores: str = "*", partitions: int = 8) -> SparkSession:
