@@ -43,7 +43,7 @@ ABBREVIATION_CONFIDENCE = 0.9
 # Salary bands of the projection noise (upper bound is exclusive, then inclusive).
 NOISE_LOW_SALARY, NOISE_HIGH_SALARY = 4500, 6500
 NOISE_BANDS = (0.08, 0.04, 0.02)
-NOISE_REFERENCE_ALPHA = 0.04
+NOISE_BASE_ALPHA = 0.04
 
 # Constant projections.
 DEFENSE_PROJECTION = 10.0

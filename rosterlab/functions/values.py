@@ -49,9 +49,9 @@ def keyed_normal(*keys: Column, seed: int) -> Column:
     return F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(uniform(2) * (2.0 * 3.141592653589793))
 
 
-def perturbed(points: Column, salary: Column, *keys: Column, seed: int, alpha: float = C.NOISE_REFERENCE_ALPHA) -> Column:
+def perturbed(points: Column, salary: Column, *keys: Column, seed: int, alpha: float = C.NOISE_BASE_ALPHA) -> Column:
     """Projection with banded noise; ``alpha`` scales all bands."""
-    band = noise_band(salary) * (alpha / C.NOISE_REFERENCE_ALPHA)
+    band = noise_band(salary) * (alpha / C.NOISE_BASE_ALPHA)
     return points * (1.0 + keyed_normal(*keys, seed=seed) * band)
 
 

@@ -143,8 +143,10 @@ def aliases_of_player(players: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
-def name_map_join(rows: DataFrame, name_map: DataFrame) -> DataFrame:
-    """Source-specific spelling replaced by the mapped name; unknown spellings stay."""
+def name_map_join(rows: DataFrame, name_map: DataFrame | None = None) -> DataFrame:
+    """Source-specific spelling replaced by the mapped name; unknown spellings stay.  Without a map the shipped one is used."""
+    if name_map is None:
+        name_map = rows.sparkSession.createDataFrame(C.NAME_MAP, "source string, player_name string, normalized_name string")
     spelled = name_map.select(
         F.col("source").alias("source_name"), F.col("player_name").alias("name"), F.col("normalized_name")
     )

@@ -43,7 +43,7 @@ def build_player_pool(raw: DataFrame, crosswalk: DataFrame, projections: DataFra
 
 def optimize(
     raw: DataFrame, crosswalk: DataFrame, projections: DataFrame, n: int = 1, cap: int = C.SALARY_CAP, min_player_salary: int = 0,
-    min_total_salary: int = 0, seed: int = 42, alpha: float = C.NOISE_REFERENCE_ALPHA, max_exposure: float = 0.35, uniq_shared: int = 7,
+    min_total_salary: int = 0, seed: int = 42, alpha: float = C.NOISE_BASE_ALPHA, max_exposure: float = 0.35, uniq_shared: int = 7,
     qb_stack: int = 1, max_team: int = 4, no_rb_vs_dst: bool = False,
 ) -> OptimizerResult:
     """One best lineup per slate, or n varied ones, and their rule audit.  Slates that fail the preflight have none."""

@@ -118,6 +118,12 @@ def test_name_fallback_only_without_any_id(spark):
     assert got == {1: (100, 20.0, "DEN", 4.0), 2: (200, 7.0, "UNK", 1.4)}
 
 
+def test_shipped_name_map(spark):
+    rows = spark.createDataFrame([("ESPN", "CMC"), ("FanDuel", "CMC")], "source_name string, name string")
+    got = {r.source_name: r.normalized_name for r in I.name_map_join(rows).collect()}
+    assert got == {"ESPN": "Christian McCaffrey", "FanDuel": "CMC"}
+
+
 def test_coverage_verdicts(spark):
     salaries = spark.createDataFrame([(1, str(i), "n", "QB", "T", 1) for i in range(200)], "slate_id int, id string, name string, pos string, team string, salary int")
 
