@@ -20,10 +20,10 @@ _POOL_COLUMNS = """s.slate_id, s.name, s.pos, s.team, s.salary, p.proj_points, s
     'crosswalk' AS match_method, coalesce(p.opp, 'UNK') AS opp, round(p.proj_points / (s.salary / 1000.0::DOUBLE), 6) AS value"""
 _LAST = """SELECT * FROM ({feed}) WHERE {key} IS NOT NULL
            QUALIFY row_number() OVER (PARTITION BY slate_id, {key} ORDER BY feed_seq DESC, proj_points DESC) = 1"""
-_SQL_BY_ID = f"""SELECT {_POOL_COLUMNS} FROM ({SQL_SALARIES}) s JOIN {_FIRST} x ON x.id = s.id
+SQL_BY_ID = f"""SELECT {_POOL_COLUMNS} FROM ({SQL_SALARIES}) s JOIN {_FIRST} x ON x.id = s.id
     JOIN ({_LAST.format(feed=SQL_FEED, key='player_id')}) p ON p.slate_id = s.slate_id AND p.player_id = x.entity_id"""
 _NAMELESS = f"(SELECT slate_id FROM ({SQL_FEED}) GROUP BY slate_id HAVING max(CASE WHEN player_id IS NULL THEN 0 ELSE 1 END) = 0)"
-_SQL_BY_NAME = f"""SELECT {_POOL_COLUMNS} FROM ({SQL_SALARIES}) s JOIN {_FIRST} x ON x.id = s.id
+SQL_BY_NAME = f"""SELECT {_POOL_COLUMNS} FROM ({SQL_SALARIES}) s JOIN {_FIRST} x ON x.id = s.id
     JOIN ({_LAST.format(feed=SQL_FEED, key='name')}) p ON p.slate_id = s.slate_id AND p.name = s.name
     WHERE s.slate_id IN {_NAMELESS}"""
 
@@ -36,17 +36,17 @@ def _rounded(pool):
     return pool.withColumn("value", F.round("value", 6))
 
 
-@register("crosswalk_join", _SQL_BY_ID)
+@register("crosswalk_join", SQL_BY_ID)
 def crosswalk_join(spark, d):
     return _rounded(I.crosswalk_join(*_pool_inputs(spark, d)))
 
 
-@register("name_fallback_join", _SQL_BY_NAME)
+@register("name_fallback_join", SQL_BY_NAME)
 def name_fallback_join(spark, d):
     return _rounded(I.name_fallback_join(*_pool_inputs(spark, d)))
 
 
-@register("build_pool", f"({_SQL_BY_ID}) UNION ALL ({_SQL_BY_NAME})")
+@register("build_pool", f"({SQL_BY_ID}) UNION ALL ({SQL_BY_NAME})")
 def build_pool(spark, d):
     return _rounded(I.build_pool(*_pool_inputs(spark, d)))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterlab import constants as C
+from rosterlab.catalog.identity import SQL_BY_ID, SQL_BY_NAME
 from rosterlab.catalog.inputs import SQL_SALARIES, projection_feed, raw_salaries, salary_table
+from rosterlab.catalog.pool import SQL_OPPONENTS
 from rosterlab.catalog.registry import register
 from rosterlab.fixtures import view
 from rosterlab.plans.optimize import build_player_pool, optimize
@@ -36,10 +38,17 @@ def _inputs(spark, d):
     return raw_salaries(spark, d), view(spark, d, "v_crosswalk"), feed
 
 
-@register("pool_job")
+@register(
+    "pool_job",
+    f"""WITH {SQL_OPPONENTS}, joined AS (({SQL_BY_ID}) UNION ALL ({SQL_BY_NAME})),
+        single AS (SELECT * FROM joined QUALIFY row_number() OVER (PARTITION BY slate_id, entity_id ORDER BY salary DESC, dk_id) = 1)
+        SELECT j.slate_id, j.name, j.pos, j.team, j.salary, j.proj_points, j.dk_id, j.entity_id, j.match_method, j.value,
+               CASE WHEN upper(j.opp) IN ('', 'UNK') THEN coalesce(m.o, 'UNK') ELSE j.opp END AS opp, j.entity_id AS player_id
+        FROM single j LEFT JOIN m ON m.slate_id = j.slate_id AND m.team = j.team""",
+)
 def pool_job(spark, d):
     pool, _ = build_player_pool(*_inputs(spark, d))
-    return pool
+    return pool.withColumn("salary", F.col("salary").cast("bigint")).withColumn("value", F.round("value", 6))
 
 
 @register("optimizer_job")

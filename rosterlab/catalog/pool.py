@@ -16,13 +16,17 @@ from rosterlab.operators.normalise import union_positions as union_by_position
 _TOKEN = "split_part(trim(game_text), ' ', 1)"
 
 
+SQL_OPPONENTS = f"""
+    sides AS (SELECT slate_id, file_seq, {sql_team(f"split_part({_TOKEN}, '@', 1)")} AS away,
+                     {sql_team(f"substr({_TOKEN}, strpos({_TOKEN}, '@') + 1)")} AS home
+              FROM v_raw_salary WHERE contains({_TOKEN}, '@')),
+    both_ways AS (SELECT slate_id, file_seq, away AS team, home AS o FROM sides UNION ALL SELECT slate_id, file_seq, home, away FROM sides),
+    m AS (SELECT slate_id, team, o FROM both_ways QUALIFY row_number() OVER (PARTITION BY slate_id, team ORDER BY file_seq DESC, o DESC) = 1)"""
+
+
 @register(
     "opponent_map_join",
-    f"""WITH sides AS (SELECT slate_id, file_seq, {sql_team(f"split_part({_TOKEN}, '@', 1)")} AS away,
-                              {sql_team(f"substr({_TOKEN}, strpos({_TOKEN}, '@') + 1)")} AS home
-                       FROM v_raw_salary WHERE contains({_TOKEN}, '@')),
-        both_ways AS (SELECT slate_id, file_seq, away AS team, home AS o FROM sides UNION ALL SELECT slate_id, file_seq, home, away FROM sides),
-        m AS (SELECT slate_id, team, o FROM both_ways QUALIFY row_number() OVER (PARTITION BY slate_id, team ORDER BY file_seq DESC, o DESC) = 1),
+    f"""WITH {SQL_OPPONENTS},
         p AS (SELECT slate_id, id, {sql_team('team_text')} AS team, coalesce(opponent_text, 'UNK') AS opp FROM v_raw_salary)
         SELECT p.slate_id, p.id, p.team, CASE WHEN p.opp = 'UNK' THEN coalesce(m.o, 'UNK') ELSE p.opp END AS opp
         FROM p LEFT JOIN m ON m.slate_id = p.slate_id AND m.team = p.team""",
