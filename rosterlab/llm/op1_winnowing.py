@@ -75,10 +75,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "prints", gram: i
         rows = pa.StructArray.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(where)], fields=list(kind.value_type))
         yield pa.RecordBatch.from_arrays([*block.columns, pa.ListArray.from_arrays(pa.array(ends), rows)], [*block.schema.names, out])
 
-    from pyspark.sql import types as T
-
-    prints = T.ArrayType(T.StructType().add("hash", "long").add("position", "long"))
-    return df.mapInArrow(C.in_arrow(step, text), T.StructType([*df.schema.fields, T.StructField(out, prints)]))
+    return df.mapInArrow(C.in_arrow(step, text), C.widened(df, **{out: "array<struct<hash:long,position:long>>"}))
 
 
 def _keys(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:

@@ -68,7 +68,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
         ids = codec(path, pattern).encode(_texts(block, text))
         yield pa.RecordBatch.from_arrays([*block.columns, pa.array(ids, pa.binary())], [*block.schema.names, out])
 
-    return df.mapInArrow(C.in_arrow(step, text), df.schema.add(out, "binary"))
+    return df.mapInArrow(C.in_arrow(step, text), C.widened(df, **{out: "binary"}))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", path: str | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", path: str | None
         found = [use.decode(x or b"") for x in block.column(ids).to_pylist()]
         yield pa.RecordBatch.from_arrays([*block.columns, pa.array(found, pa.binary())], [*block.schema.names, out])
 
-    return df.mapInArrow(C.in_arrow(step, ids), df.schema.add(out, "binary"))
+    return df.mapInArrow(C.in_arrow(step, ids), C.widened(df, **{out: "binary"}))
 
 
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

@@ -122,7 +122,7 @@ def token_counts(
     path = path or public_tokenizers.path(VOCABULARY)
     keep = [c for c in df.columns if c not in (text, n_bytes, n_tokens)]
     df = df.select(*keep, text)
-    schema = df.select(*keep).schema.add(n_bytes, "long").add(n_tokens, "long")
+    schema = C.widened(df.select(*keep), **{n_bytes: "long", n_tokens: "long"})
 
     def step(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = [t or "" for t in block.column(text).to_pylist()]

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rosterlab.llm.op1_winnowing import op1_winnowing
 from rosterlab.llm.op3_bpe import op3_bpe_round_trip
+from rosterlab.llm.op4_toxicity import op4_toxicity
+from rosterlab.llm.op5_language import op5_language
 from rosterlab.llm.op6_token_counts import op6_token_counts
 from rosterlab.llm.op8_shuffle import op8_shuffle
 from rosterlab.llm.op10_packing import op10_packing
@@ -15,6 +17,8 @@ from rosterlab.llm.op10_packing import op10_packing
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_toxicity": op4_toxicity,
+    "op5_language": op5_language,
     "op6_token_counts": op6_token_counts,
     "op8_shuffle": op8_shuffle,
     "op10_packing": op10_packing,
