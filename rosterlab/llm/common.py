@@ -183,8 +183,7 @@ def bitmap(df: DataFrame, key: str, bits: int = 22) -> dict[int, int]:
 
     Only ever used to leave out rows that cannot match before an exact join; a full bitmap costs time, not results.
     """
-    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    rows = df.select((F.shiftright(slot, 6)).alias("w"), F.shiftleft(F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b"))
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("s")).selectExpr("shiftright(s, 6) AS w", "shiftleft(1L, int(s % 64)) AS b")
     return {r["w"]: r["m"] for r in rows.groupBy("w").agg(F.bit_or("b").alias("m")).collect()}
 
 

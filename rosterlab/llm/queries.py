@@ -11,6 +11,7 @@ from rosterlab.llm.op3_bpe import op3_bpe_round_trip
 from rosterlab.llm.op4_toxicity import op4_toxicity
 from rosterlab.llm.op5_language import op5_language
 from rosterlab.llm.op6_token_counts import op6_token_counts
+from rosterlab.llm.op7_substrings import op7_substrings
 from rosterlab.llm.op8_shuffle import op8_shuffle
 from rosterlab.llm.op10_packing import op10_packing
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_token_counts": op6_token_counts,
+    "op7_substrings": op7_substrings,
     "op8_shuffle": op8_shuffle,
     "op10_packing": op10_packing,
 }
