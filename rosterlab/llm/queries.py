@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rosterlab.llm.op1_winnowing import op1_winnowing
+from rosterlab.llm.op2_projections import op2_projections
 from rosterlab.llm.op3_bpe import op3_bpe_round_trip
 from rosterlab.llm.op4_toxicity import op4_toxicity
 from rosterlab.llm.op5_language import op5_language
@@ -17,6 +18,7 @@ from rosterlab.llm.op10_packing import op10_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op2_projections": op2_projections,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
