@@ -14,6 +14,7 @@ from rosterlab.llm.op5_language import op5_language
 from rosterlab.llm.op6_token_counts import op6_token_counts
 from rosterlab.llm.op7_substrings import op7_substrings
 from rosterlab.llm.op8_shuffle import op8_shuffle
+from rosterlab.llm.op9_partenum import op9_partenum
 from rosterlab.llm.op10_packing import op10_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_substrings": op7_substrings,
     "op8_shuffle": op8_shuffle,
+    "op9_partenum": op9_partenum,
     "op10_packing": op10_packing,
 }
 
