@@ -195,5 +195,8 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents without their repeated passages, in the columns they came with."""
-    return remove_repeats(docs).select(*docs.columns)
+    """The documents without their repeated passages, in the columns they came with; n_chars follows the text."""
+    out = remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
