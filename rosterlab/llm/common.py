@@ -34,6 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def staged(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder that the cluster names, and read back: cuts lineage, survives executors."""
     spark = df.sparkSession
+    importable(spark)
     path = f"{shared_folder(spark).rstrip('/')}/rosterlab-llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -51,6 +52,7 @@ def release(df: DataFrame) -> None:
 
 def widened(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of df with more columns, as a new object."""
+    importable(df.sparkSession)
     return T.StructType([*df.schema.fields, *[T.StructField(n, T._parse_datatype_string(k)) for n, k in columns.items()]])
 
 

@@ -16,7 +16,7 @@ from rosterlab.llm.bpe import Memory
 #: Bound of the labelled sample that lexicon and weights are learned from (rows on average), and of the lexicon.
 LABELLED_ROWS, LEXICON_TERMS = 12_000, 400
 #: A term has at least so many different surroundings under the label, and so many for each labelled row.
-LEAST_CONTEXTS, LEAST_SHARE = 5, 0.03
+LEAST_CONTEXTS, LEAST_SHARE = 5, 0.01
 #: Words on either side of a hit that its context score looks at.
 CONTEXT = 6
 #: Edits allowed for terms of at least so many letters.
