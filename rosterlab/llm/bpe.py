@@ -125,7 +125,7 @@ class Merges:
         ids = [int(x) for x in word]
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        slots = self.find(np.array(ids[:-1]), np.array(ids[1:]))
+        slots = self.find(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))
         heap = [(int(self.rank[s]), i, ids[i], ids[i + 1]) for i, s in enumerate(slots) if s >= 0]
         heapq.heapify(heap)
         while heap:
