@@ -51,7 +51,10 @@ def min_rows_gate(spark, d):
     return M.min_rows_gate(view(spark, d, "v_weekly"))
 
 
-@register("split_80_20")
+@register(
+    "split_80_20",
+    """SELECT player_id, seq, CAST('0x' || substr(md5(concat_ws('|', 42, player_id, seq)), 1, 13) AS BIGINT) % 100 < 80 AS is_train FROM v_weekly""",
+)
 def split_80_20(spark, d):
     return M.split_80_20(view(spark, d, "v_weekly").select(*KEYS), KEYS)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rosterlab import constants as C
 from rosterlab.catalog.inputs import (
     SQL_NORMALISED, SQL_SALARIES, raw_salaries, salary_table, sql_name_key, sql_team,
 )
@@ -152,11 +153,20 @@ def noise_band(spark, d):
     return view(spark, d, "v_pool").select("player_id", V.noise_band(F.col("salary")).alias("band"))
 
 
-@register("perturb_projection")
+_UNIFORM = "(CAST('0x' || substr(md5(concat_ws('|', 42, k, player_id)), {}, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+
+
+@register(
+    "perturb_projection",
+    f"""SELECT slate_id, CAST(k AS INTEGER) AS k, player_id,
+               round(proj_points::DOUBLE * (1 + sqrt(-2 * ln({_UNIFORM.format(1)})) * cos({_UNIFORM.format(14)} * 2 * pi())
+                   * CASE WHEN salary < {C.NOISE_LOW_SALARY} THEN {C.NOISE_BANDS[0]} WHEN salary <= {C.NOISE_HIGH_SALARY} THEN {C.NOISE_BANDS[1]} ELSE {C.NOISE_BANDS[2]} END), 6) AS proj_points
+        FROM v_pool, range(1, 21) AS t(k)""",
+)
 def perturb_projection(spark, d):
     pool = view(spark, d, "v_pool").select("*", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("k"))
     points = V.perturbed(F.col("proj_points").cast("double"), F.col("salary"), F.col("k"), F.col("player_id"), seed=42)
-    return pool.select("slate_id", "k", "player_id", points.alias("proj_points"))
+    return pool.select("slate_id", "k", "player_id", F.round(points, 6).alias("proj_points"))
 
 
 @register(

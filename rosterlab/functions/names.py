@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -15,10 +17,10 @@ from rosterlab import constants as C
 
 
 @lru_cache(maxsize=1)
-def _accent_folds() -> tuple[str, str, list[tuple[str, str]]]:
-    """Rule-built folds: one-character folds for ``translate`` and the letter ligatures."""
-    source, target, ligatures = [], [], []
-    for code in range(0x80, 0x10000):
+def _accent_folds() -> tuple[str, str, dict[str, str]]:
+    """Rule-built folds of all of Unicode: to one character for ``translate``, and to several."""
+    source, target, several = [], [], {}
+    for code in range(0x80, 0x110000):
         if 0xD800 <= code <= 0xDFFF:
             continue
         char = chr(code)
@@ -29,18 +31,19 @@ def _accent_folds() -> tuple[str, str, list[tuple[str, str]]]:
         if len(plain) == 1:
             source.append(char)
             target.append(plain)
-        elif code < 0x250 or 0xFB00 <= code <= 0xFB06:
-            ligatures.append((char, plain))
-    return "".join(source), "".join(target), ligatures
+        else:
+            several[char] = plain
+    return "".join(source), "".join(target), several
 
 
 def fold_accents(name: Column) -> Column:
     """Compatibility-fold accented characters to their base letters; plain ASCII values are not touched."""
-    source, target, ligatures = _accent_folds()
+    source, target, several = _accent_folds()
     folded = F.translate(name, source, target)
     folded = F.regexp_replace(folded, r"\p{M}", "")
-    for char, letters in ligatures:
-        folded = F.replace(folded, F.lit(char), F.lit(letters))
+    pairs = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), "")
+    folded = F.when(folded.rlike(f"[{re.escape(''.join(several))}]"), spelled).otherwise(folded)
     return F.when(name.rlike(r"[^\x00-\x7F]"), folded).otherwise(name)
 
 
@@ -131,6 +134,16 @@ def text_similarity(a: Column, b: Column) -> Column:
     return _boosted(a, b, 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
+def length_bound(similarity: Callable[[Column, Column], Column], a: Column, b: Column) -> Column:
+    """The highest score that two prepared texts of these lengths can have; 1 for a score it does not know."""
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    if similarity is text_similarity:
+        return F.coalesce(shorter / longer, F.lit(1.0)) + 0.2
+    if similarity is text_sequence_similarity:
+        return F.coalesce(2 * shorter / (shorter + longer), F.lit(1.0)) + 0.2
+    return F.lit(1.0)
+
+
 def name_similarity(left: Column, right: Column) -> Column:
     return text_similarity(similarity_text(left), similarity_text(right))
 

@@ -39,14 +39,20 @@ def noise_band(salary: Column) -> Column:
     )
 
 
+def hex_number(digits: Column) -> Column:
+    """The number that up to 15 hexadecimal digits stand for."""
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
 def keyed_normal(*keys: Column, seed: int) -> Column:
     """Standard normal draw that depends only on the keys and the seed, never on partitioning."""
 
-    def uniform(stream: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(stream), *keys), 11)
-        return (bits.cast("double") + 0.5) / float(2**53)
+    digits = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"))
+
+    def uniform(start: int) -> Column:
+        return (hex_number(F.substr(digits, F.lit(start), F.lit(13))).cast("double") + 0.5) / float(2**52)
 
-    return F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(uniform(2) * (2.0 * 3.141592653589793))
+    return F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(uniform(14) * (2.0 * 3.141592653589793))
 
 
 def perturbed(points: Column, salary: Column, *keys: Column, seed: int, alpha: float = C.NOISE_BASE_ALPHA) -> Column:

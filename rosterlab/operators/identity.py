@@ -170,13 +170,18 @@ def _substrings(names: DataFrame, text: str, longest: Column, piece: str) -> Dat
 def search_players(players: DataFrame, aliases: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
     """Case-insensitive contains-search over canonical, first, last and alias names; top n players per query.
 
-    A query is inside a name exactly when it equals one of the name's substrings, so the search is an equi-join.
+    A query is inside a name exactly when it equals one of the name's substrings, so the search is an equi-join.  The
+    empty query is inside every name.
     """
     longest = queries.select(F.max(F.length("query")).cast("int")).scalar()
     wanted = queries.select("query", F.lower("query").alias("_lower"))
+    asks_all = not queries.filter("query = ''").isEmpty()
 
     def hits(names: DataFrame, *carried: str) -> DataFrame:
-        pieces = _substrings(names.select(*carried, F.lower("_name").alias("_name")), "_name", longest, "_lower")
+        lower = names.select(*carried, F.lower("_name").alias("_name"))
+        pieces = _substrings(lower, "_name", longest, "_lower")
+        if asks_all:
+            pieces = pieces.unionByName(lower.filter(F.col("_name").isNotNull()).select(*carried, F.lit("").alias("_lower")).distinct())
         return pieces.join(wanted, "_lower").select("query", *carried).distinct()
 
     own = players.select("id", F.explode(F.array("canonical_name", "first_name", "last_name")).alias("_name"))
@@ -279,9 +284,8 @@ def match_candidates(
     texts = texts.withColumn("_tile", F.pmod(F.xxhash64("_b_text"), F.lit(tiles)))
     tile_list = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint"))).alias("_tile")
     questions = asked.select("pos", "_scope", "_text").distinct().select("*", tile_list)
-    shorter = F.least(F.length("_text"), F.length("_b_text"))
-    longer = F.greatest(F.length("_text"), F.length("_b_text"))
-    pairs = questions.join(texts, ["pos", "_scope", "_tile"]).filter(shorter >= longer * (threshold - 0.2))
+    possible = N.length_bound(similarity, F.col("_text"), F.col("_b_text"))
+    pairs = questions.join(texts, ["pos", "_scope", "_tile"]).filter(possible >= threshold - 1e-6)
     scored = pairs.withColumn("similarity", F.round(similarity(F.col("_text"), F.col("_b_text")), 6)).filter(
         F.col("similarity") > threshold
     )

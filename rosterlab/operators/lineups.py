@@ -268,17 +268,20 @@ def lineup_rule_audit(
 
     With the player pool (slate_id, pos, team), a QB whose team has no WR/TE in the pool is exempt from the stack rule.
     """
-    counts = lineups.groupBy(*LINEUP_KEY, "slate_id").agg(
-        F.count("*").alias("rows"), F.sum("salary").alias("total_salary"),
+    known = F.col("team").isNotNull() & (F.col("team") != C.UNKNOWN_OPPONENT)
+    faced = (F.col("pos") == "RB") & F.col("opp").isNotNull() & (F.col("opp") != C.UNKNOWN_OPPONENT)
+    # by team first, so that what a lineup gathers is one row per team and position facts, however many rows it has
+    teams = lineups.groupBy(*LINEUP_KEY, "slate_id", "team").agg(
+        F.count("*").alias("rows"), F.sum("salary").alias("salary"), F.max(known).alias("_known"),
         *[F.count_if(F.col("pos") == p).alias(f"n_{p}") for p in C.POSITIONS],
         F.min(F.when(F.col("pos") == "QB", F.struct("player_id", "team"))).alias("_qb"),
+        F.collect_set(F.when(faced, F.col("opp"))).alias("_faced"),
     )
-    stacks = qb_stack_join(lineups).groupBy(*LINEUP_KEY).agg(F.max("stack_size").alias("_stack"))
-    conflicts = rb_vs_dst_conflicts(lineups).select(*LINEUP_KEY).distinct().withColumn("_conflict", F.lit(True))
-    joined = (
-        counts.join(stacks, LINEUP_KEY, "left")
-        .join(team_cap_check(lineups, max_team), LINEUP_KEY)
-        .join(conflicts, LINEUP_KEY, "left")
+    joined = teams.groupBy(*LINEUP_KEY, "slate_id").agg(
+        F.sum("rows").alias("rows"), F.sum("salary").alias("total_salary"), *[F.sum(f"n_{p}").alias(f"n_{p}") for p in C.POSITIONS],
+        F.min("_qb").alias("_qb"), F.max(F.when(F.col("team").isNotNull() & (F.col("n_QB") > 0), F.col("n_WR") + F.col("n_TE"))).alias("_stack"),
+        F.max(F.when(F.col("_known"), F.col("rows")).otherwise(F.lit(0))).alias("largest_team"),
+        F.arrays_overlap(F.flatten(F.collect_list("_faced")), F.collect_set(F.when(F.col("n_DST") > 0, F.col("team")))).alias("_conflict"),
     )
     exempt = F.lit(False)
     if pool is not None:
@@ -296,8 +299,8 @@ def lineup_rule_audit(
         (F.col("total_salary") <= cap).alias("cap_ok"),
         (F.col("total_salary") >= floor).alias("floor_ok"),
         ((F.coalesce("_stack", F.lit(0)) >= stack) | exempt).alias("stack_ok"),
-        "team_ok",
-        F.col("_conflict").isNull().alias("no_rb_vs_dst"),
+        (F.col("largest_team") <= max_team).alias("team_ok"),
+        (~F.coalesce("_conflict", F.lit(False))).alias("no_rb_vs_dst"),
     )
 
 

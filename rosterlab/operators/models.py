@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlab import constants as C
-from rosterlab.functions.values import linear_fallback
+from rosterlab.functions.values import hex_number, linear_fallback
 from rosterlab.operators.normalise import union_positions
 
 TARGET = "fantasy_points_ppr"
@@ -38,7 +38,8 @@ def min_rows_gate(features: DataFrame, minimums: dict[str, int] = C.MIN_TRAINING
 
 def split_80_20(rows: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Adds ``is_train``; decided by the row's keys, so it is the same for any partitioning."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(100))
+    digits = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    bucket = hex_number(F.substr(digits, F.lit(1), F.lit(13))) % 100
     return rows.withColumn("is_train", bucket < 80)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from rosterlab.sources.salaries import csv_header, scan_text_csv
 LINEUP_FILE_COLUMNS = ["name", "pos", "team", "salary", "proj_points", "lineup_k"]
 
 
+ROWS_PER_FILE = 1_000_000
+
+
 def scan_lineup_files(
     spark: SparkSession, pattern: str, columns: Sequence[str] = LINEUP_FILE_COLUMNS, number: str = r"lineup_(\d+)", part: str = "file_name"
 ) -> DataFrame:
@@ -32,8 +36,16 @@ def scan_lineup_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_lineups(lineups: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("slate_id",)) -> None:
-    """One directory per slate; a slate's lineups share files instead of taking one file each."""
-    writer = lineups.write.mode("overwrite").partitionBy(*partition_by)
+    """One directory per slate; a slate's lineups share files of about ROWS_PER_FILE rows instead of taking one file each.
+
+    Rows are first brought together by slate and a salt drawn from the slate's row count, so a task writes few files and a
+    large slate is written by many tasks.
+    """
+    counts = lineups.groupBy(*[F.col(c).alias(f"_{c}") for c in partition_by]).agg(F.ceil(F.count("*") / ROWS_PER_FILE).alias("_files"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in partition_by])
+    rest = [c for c in lineups.columns if c not in partition_by]
+    salted = lineups.join(counts, same).select(*lineups.columns, F.pmod(F.xxhash64(*rest), "_files").alias("_salt"))
+    writer = salted.repartition(*partition_by, "_salt").drop("_salt").write.mode("overwrite").partitionBy(*partition_by)
     (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
 
 
