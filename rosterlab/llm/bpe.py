@@ -236,6 +236,10 @@ class Memory(dict):
         super().__init__()
         self.compute, self.size, self.old = compute, size, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def learn(self, pieces: Iterable[str]) -> None:
         """Makes every piece present."""
         new = []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -258,11 +261,20 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the machine: workers are kept, and the next operator's tasks may run in them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def in_arrow(step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], column: str, limit: int = BLOCK_BYTES):
     """A mapInArrow function that applies `step` to blocks of bounded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, column, limit):
             yield from step(block)
+        give_back()
 
     return run

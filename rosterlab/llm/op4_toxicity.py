@@ -262,11 +262,14 @@ def score(df: DataFrame, scorer: Scorer, text: str = "text", out: str = "score")
     df = df.drop(out)
     shared = df.sparkSession.sparkContext.broadcast(scorer)
 
-    def step(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = shared.value.scores([t or "" for t in block.column(text).to_pylist()])
-        yield pa.RecordBatch.from_arrays([*block.columns, pa.array(found, pa.float64())], [*block.schema.names, out])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in C.blocks(batches, text):
+            found = shared.value.scores([t or "" for t in block.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(found, pa.float64())], [*block.schema.names, out])
+        shared.value.memory.forget()  # the worker lives on and runs other operators
+        C.give_back()
 
-    return df.mapInArrow(C.in_arrow(step, text), C.widened(df, **{out: "double"}))
+    return df.mapInArrow(run, C.widened(df, **{out: "double"}))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ WORDS, SIMILAR = 5, 80  # per cent
 SMALL_RUN = 12
 #: Sets that one task compares with each other, and bits of the bitmap that leaves out texts without candidates.
 BLOCK, BITS = 256, 22
+#: Bytes of text whose sets a worker holds at a time.
+TEXT_BYTES = 1 << 20
 
 
 # --- sets ------------------------------------------------------------------------------------------------------------
@@ -447,11 +449,11 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """
     spark = df.sparkSession
     docs = df.select(key, text)
-    profile = C.staged(docs.mapInArrow(C.in_arrow(_profiles(k, key, text), text), "id long, n long, node long, cells binary"))
+    profile = C.staged(docs.mapInArrow(C.in_arrow(_profiles(k, key, text), text, TEXT_BYTES), "id long, n long, node long, cells binary"))
     nodes = C.staged(profile.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("cells").alias("cells")))
 
     buckets = 1 << max(0, (8 * C.partitions(spark)).bit_length())
-    rows = docs.mapInArrow(C.in_arrow(_signature_rows(k, text, buckets), text), "bucket long, sigs binary, who binary, nodes binary")
+    rows = docs.mapInArrow(C.in_arrow(_signature_rows(k, text, buckets), text, TEXT_BYTES), "bucket long, sigs binary, who binary, nodes binary")
     found = C.staged(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_runs, "kind int, a long, b long"))
 
     pairs = found.where("kind = 0").select("a", "b").distinct()
@@ -470,7 +472,7 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
     # the sets themselves, of documents with candidates
     slots = {r["w"]: r["m"] for r in clusters.selectExpr(f"node & {(1 << BITS) - 1} AS s").selectExpr("s >> 6 AS w", "shiftleft(1L, int(s & 63)) AS b").groupBy("w").agg(F.bit_or("b").alias("m")).collect()}
-    sets = docs.mapInArrow(C.in_arrow(_set_rows(k, text, slots), text), "node long, n long, data binary")
+    sets = docs.mapInArrow(C.in_arrow(_set_rows(k, text, slots), text, TEXT_BYTES), "node long, n long, data binary")
     members = C.staged(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("data")).join(clusters.withColumnRenamed("component", "cluster"), "node"))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("m")).select(F.col("component").alias("cluster"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
