@@ -21,12 +21,19 @@ from rosterlab.session import shared_folder
 #: Bytes of text handled by one vectorised step inside a task; bounds a worker's memory, changes no result.
 BLOCK_BYTES = 1 << 21
 
+#: Rows of an Arrow batch; texts of thousands of rows at once are what a worker's memory is spent on.
+BATCH_ROWS = 4000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 NULL_ID = -(1 << 63)
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this library when it is run from its folder and not installed."""
+    """Lets Python workers import this library when it is run from its folder and not installed, and bounds the rows that a
+    worker is sent at a time where the session says nothing about it."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
