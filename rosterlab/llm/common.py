@@ -276,12 +276,14 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def in_arrow(step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], column: str, limit: int = BLOCK_BYTES):
-    """A mapInArrow function that applies `step` to blocks of bounded text."""
+def in_arrow(step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], column: str, limit: int = BLOCK_BYTES, after: Callable[[], None] | None = None):
+    """A mapInArrow function that applies `step` to blocks of bounded text, and calls `after` at the end of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, column, limit):
             yield from step(block)
+        if after:
+            after()
         give_back()
 
     return run

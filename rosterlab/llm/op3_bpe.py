@@ -68,7 +68,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
         ids = codec(path, pattern).encode(_texts(block, text))
         yield pa.RecordBatch.from_arrays([*block.columns, pa.array(ids, pa.binary())], [*block.schema.names, out])
 
-    return df.mapInArrow(C.in_arrow(step, text), C.widened(df, **{out: "binary"}))
+    return df.mapInArrow(C.in_arrow(step, text, after=lambda: codec(path, pattern).memory.forget()), C.widened(df, **{out: "binary"}))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", path: str | None = None) -> DataFrame:
@@ -103,7 +103,7 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
         )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.mapInArrow(C.in_arrow(step, text), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.mapInArrow(C.in_arrow(step, text, after=lambda: codec(path, public_tokenizers.PATTERN).memory.forget()), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def token_counts(
         counts = pa.array(counter(path).count(texts, chunk, overlap), pa.int64())
         yield pa.RecordBatch.from_arrays([*[block.column(c) for c in keep], sizes, counts], [*keep, n_bytes, n_tokens])
 
-    return df.mapInArrow(C.in_arrow(step, text), schema)
+    return df.mapInArrow(C.in_arrow(step, text, after=lambda: counter(path).memory.forget()), schema)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
