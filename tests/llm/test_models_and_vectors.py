@@ -123,6 +123,53 @@ def test_vectors_of_dense_groups(spark):
     assert set(n.values()) == {len(rows) - 1}
 
 
+def planted_vectors(rows, pairs, cosine, seed=7, width=64, alike=0.8):
+    """Unit vectors, a third of them in one loose cluster of mutual cosine `alike`, and the places of planted pairs in it and outside."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    v, third = unit(r.standard_normal((rows, width))), rows // 3
+    centre = unit(r.standard_normal(width))
+    v[:third] = unit(np.sqrt(alike) * centre + np.sqrt(1 - alike) * v[:third])
+    at = np.concatenate([np.arange(0, 2 * pairs, 2), np.arange(rows - 2 * pairs, rows, 2)])
+    side = r.standard_normal((len(at), width))
+    side = unit(side - (side * v[at]).sum(1, keepdims=True) * v[at])
+    v[at + 1] = cosine * v[at] + np.sqrt(1 - cosine**2) * side
+    return v, at
+
+
+@pytest.mark.parametrize(("window", "least"), [(1024, 1.0), (16, 0.98)])
+def test_vectors_of_a_hot_cluster(spark, window, least):
+    v, at = planted_vectors(6000, 100, 0.905)
+    whole = op2_projections.plan(len(v), v[::12], window=window)
+    assert whole == (0, 1) if window == 1024 else whole[0] > 0
+    df = spark.createDataFrame(enumerate(v.tolist()), "vec_id long, embedding array<double>")
+    out = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in op2_projections.near_vectors(df, window=window).collect()}
+    together = [out[i][1] == out[i + 1][1] for i in at.tolist()]
+    assert np.mean(together) >= least
+    links = (v @ v.T >= 0.9).sum(1) - 1
+    assert np.mean([out[i][0] == n for i, n in enumerate(links.tolist())]) >= least
+
+
+def test_codes_of_many_rows_are_compared_in_tiles(spark):
+    v, _ = planted_vectors(1500, 40, 0.92)
+    reps = spark.createDataFrame([(i, x, 64) for i, x in enumerate(v.tolist())], "rep long, v array<double>, size int")
+    found = op2_projections.C.components(op2_projections.sorted_pass_pairs(reps, tile_bytes=200 * 8 * 64)).collect()
+    got = {x["node"]: x["component"] for x in found}
+    want = {k: g for k, (n, g, _) in brute_vectors(v, list(range(len(v)))).items() if n}
+    assert got == want
+
+
+def test_passes_follow_from_the_signs():
+    for bits in (1, 8, 20):
+        alike = (1 - np.arccos(0.9) / np.pi) ** bits
+        need = op2_projections.passes_for(bits)
+        assert (1 - alike) ** need <= op2_projections.MISSED < (1 - alike) ** (need - 1)
+    sample = np.random.default_rng(1).standard_normal((512, 64))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    small, large = (op2_projections.plan(n, sample) for n in (100_000, 10_000_000))
+    assert 0 < small[0] < large[0] and small[1] < large[1]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.95, 0.1]), (4, [0.0, 1.0]), (5, None), (6, []), (7, [0.0, 0.0]), (8, [nan, 1.0]), (9, [inf, 1.0]), (10, [None, 1.0]), (11, [1.0, 0.0, 0.0]), (12, [0.0, 1.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0])]
