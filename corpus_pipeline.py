@@ -33,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, the one with the smallest doc_id."""
+    """One row of each group of linked documents, one with the smallest doc_id; repeated rows go too."""
     return op9_partenum.kept_documents(spark, docs)
 
 

@@ -67,6 +67,9 @@ def _width(size: int) -> int:
     return 1 << min(14, max(3, int(size // 4).bit_length()))
 
 
+_SEAL = "_seal"  # a hash of the whole text
+
+
 def _profiles(k: int, key: str, text: str) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     def step(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         values, offsets = shingle_sets(*C.buffers(block.column(text)), k)
@@ -76,7 +79,7 @@ def _profiles(k: int, key: str, text: str) -> Callable[[pa.RecordBatch], Iterato
             width = _width(b - a)
             cells.append(np.bincount((mixed[a:b] >> np.uint64(65 - width.bit_length())).astype(np.int64), minlength=width).astype(np.uint8).tobytes())
         node = pa.array(_nodes(values, offsets), pa.int64(), mask=size == 0)
-        yield pa.RecordBatch.from_arrays([block.column(key).cast(pa.int64()), pa.array(size), node, pa.array(cells, pa.binary())], ["id", "n", "node", "cells"])
+        yield pa.RecordBatch.from_arrays([block.column(key).cast(pa.int64()), block.column(_SEAL), pa.array(size), node, pa.array(cells, pa.binary())], ["id", "seal", "n", "node", "cells"])
 
     return step
 
@@ -439,17 +442,15 @@ def _set_rows(k: int, text: str, slots: dict[int, int]) -> Callable[[pa.RecordBa
     return step
 
 
-def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """(key, n_shingles, component_id) for every row of df.
+def _sealed(text: str) -> F.Column:
+    return F.xxhash64(F.col(text))
 
-    A text's set holds the hashes of its runs of k lower-cased (A to Z) words; with fewer words the whole sequence is its
-    one element; a null text and one without words has an empty set that nothing links to.  Texts with equal sets are one
-    set under one name of 64 bits.  Repeated rows are rows of their own.  A row without a key does not count for the
-    smallest key of its component.
-    """
+
+def _components(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(id, seal, n, node, group, component_id) for every row of df: its set, the set that names the component, its smallest key."""
     spark = df.sparkSession
     docs = df.select(key, text)
-    profile = C.staged(docs.mapInArrow(C.in_arrow(_profiles(k, key, text), text, TEXT_BYTES), "id long, n long, node long, cells binary"))
+    profile = C.staged(docs.withColumn(_SEAL, _sealed(text)).mapInArrow(C.in_arrow(_profiles(k, key, text), text, TEXT_BYTES), "id long, seal long, n long, node long, cells binary"))
     nodes = C.staged(profile.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("cells").alias("cells")))
 
     buckets = 1 << max(0, (8 * C.partitions(spark)).bit_length())
@@ -485,8 +486,19 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     joined = C.components(edges)
     least = nodes.select("node", "least").join(joined, "node")
     named = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = C.staged(nodes.select("node", "least").join(joined, "node", "left").join(named, "component", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
-    out = profile.select("id", "n", "node").join(final, "node", "left")
+    final = C.staged(nodes.select("node", "least").join(joined, "node", "left").join(named, "component", "left").select("node", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "least").alias("component_id")))
+    return profile.select("id", "seal", "n", "node").join(final, "node", "left")
+
+
+def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+    """(key, n_shingles, component_id) for every row of df.
+
+    A text's set holds the hashes of its runs of k lower-cased (A to Z) words; with fewer words the whole sequence is its
+    one element; a null text and one without words has an empty set that nothing links to.  Texts with equal sets are one
+    set under one name of 64 bits.  Repeated rows are rows of their own.  A row without a key does not count for the
+    smallest key of its component.
+    """
+    out = _components(df, key, text, k)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -508,9 +520,25 @@ def op9_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(C.table(spark, sf_dir, "documents"))
 
 
-def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group of linked ones: the one with the smallest doc_id, all rows of documents without one."""
-    found = similar_sets(docs).where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+def kept_documents(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+    """One row of each group of linked documents: of the smallest key, a row without one only where none has a key.
+
+    Of different texts under that key one is taken by its hash, of rows equal in key and text the smallest in all columns.
+    Rows whose text is null or has no words link to nothing and all stay.  Columns must be orderable (no maps).
+    """
+    rows = C.staged(_components(docs, key, text, k).select("id", "seal", "node", "group"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "seal")).alias("_first")
+    chosen = rows.where("node IS NOT NULL").groupBy("group").agg(first).select("_first.id", "_first.seal")
+    times = rows.where("node IS NOT NULL").groupBy("id", "seal").agg(F.count("*").alias("times"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("seal") == F.col("_own"))
+    chosen = chosen.join(times.withColumnsRenamed({"id": "_id", "seal": "_own"}), same).select("id", "seal", (F.col("times") > 1).alias("_again"))
+    empty = rows.where("node IS NULL").select("id", "seal").distinct().withColumn("_again", F.lit(False))
+    kept = C.staged(chosen.union(empty))
+
+    names = docs.columns
+    tagged = docs.withColumn("_id", F.col(key).cast("long")).withColumn("_own", _sealed(text)).join(kept, same)
+    # equal rows are folded where they are read
+    once = tagged.where("_again").groupBy("_id", "_own").agg(F.min(F.struct(*names)).alias("_row")).select("_row.*")
+    return tagged.where(~F.col("_again")).select(*names).union(once)
 
 

@@ -192,6 +192,19 @@ def test_similar_sets_of_nothing(make):
     assert sorted((x["doc_id"] or 0, x["component_id"]) for x in out) == [(0, 7), (7, 7), (7, 7), (9, 9)]
 
 
+def test_one_row_of_each_group_is_kept(make, spark):
+    a, b, c = ("a b c d e f g h i j k l m n o p q r s t u v w x y z", "one two three four five six seven", "red green blue white black brown")
+    near = a + " more"
+    rows = [(5, a), (5, a), (7, near), (7, b), (3, b), (None, a), (None, c), (None, c), (9, None), (9, None), (2, "z y x w v u")]
+    out = op9_partenum.kept_documents(spark, make(rows + rows))
+    assert out.columns == make(rows).columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    # a null text links to nothing
+    assert got == {(5, a): 1, (3, b): 1, (None, c): 1, (2, "z y x w v u"): 1, (9, None): 4}
+    two = op9_partenum.kept_documents(spark, make([(1, a), (1, near), (None, near)])).collect()
+    assert len(two) == 1 and two[0]["doc_id"] == 1
+
+
 def test_shuffle_deals_all_rows_evenly(make, spark):
     rows = [(i, f"text {i}" if i % 7 else None, i) for i in range(500)]
     docs = make(rows, ", shard int")
