@@ -223,6 +223,16 @@ def test_shuffle_deals_all_rows_evenly(make, spark):
     assert sorted(Counter(r["shard"] for r in same.collect()).values()) == [12, 12, 13, 13]
 
 
+def test_shuffle_spreads_rows_that_are_alike(make):
+    docs = make([(1, "same")] * 2000 + [(None, None)] * 2000)
+    for options in ({"bucket_bytes": 4000}, {"bucket_rows": 400}):
+        sizes = [r["count"] for r in op8_shuffle.scattered(docs, **options).groupBy("_bucket").count().collect()]
+        assert sum(sizes) == 4000 and len(sizes) >= 10 and max(sizes) < 600
+    out = op8_shuffle.external_shuffle(docs, shards=3, bucket_bytes=4000).collect()
+    assert Counter(r["doc_id"] for r in out) == {1: 2000, None: 2000}
+    assert sorted(r["slot"] * 3 + r["shard"] for r in out) == list(range(4000))
+
+
 def test_shards_are_written(make, spark, tmp_path):
     op8_shuffle.write_shards(make([(i, "x" * i) for i in range(40)]), str(tmp_path / "out"), shards=3)
     back = spark.read.parquet(str(tmp_path / "out"))
