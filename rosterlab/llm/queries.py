@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rosterlab.llm import op11_decontaminate as decontaminate
+from rosterlab.llm import op13_centroids as centroids
 from rosterlab.llm.op1_winnowing import op1_winnowing
 from rosterlab.llm.op2_projections import op2_projections
 from rosterlab.llm.op3_bpe import op3_bpe_round_trip
@@ -16,6 +18,7 @@ from rosterlab.llm.op7_substrings import op7_substrings
 from rosterlab.llm.op8_shuffle import op8_shuffle
 from rosterlab.llm.op9_partenum import op9_partenum
 from rosterlab.llm.op10_packing import op10_packing
+from rosterlab.llm.op12_alignment import op12_alignment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shuffle": op8_shuffle,
     "op9_partenum": op9_partenum,
     "op10_packing": op10_packing,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_alignment": op12_alignment,
+    "op13_centroids": centroids.op13_centroids,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_decontaminate": decontaminate.ORACLE, "op13_centroids": centroids.ORACLE}
