@@ -1,10 +1,11 @@
-"""Removal of repeated passages: seeds are winnowed anchors that documents share, extended both ways word by word.
+"""Removal of repeated passages: seeds are winnowed anchors that documents share, extended both ways to whole windows.
 
 Every window of `length` words holds exactly one chosen anchor: the word gram of least hash in it, of equal ones the
 rightmost.  Equal windows therefore choose equal anchors at equal distances, so joining documents on anchors loses no
-match.  An anchor travels with one short hash for each window that chose it, that is for each way to extend it left and
-right to the full length; two occurrences agree on a window exactly if their extensions agree.  Repeated windows that overlap
-are one maximal repeat of at least `length` words, whose words go.
+match.  Anchors are counted first, and only those that may occur twice are joined.  An occurrence brings a 64-bit hash for
+each way to extend it left and right to the full length; two occurrences agree on a window where anchor, distance and that
+hash agree (128 bits).  An anchor that very many places share is dealt by anchor and extension, so no task holds all its
+places.  Repeated windows that overlap are one maximal repeat of at least `length` words, whose words go.
 """
 
 from __future__ import annotations
@@ -20,7 +21,15 @@ from rosterlab.llm import common as C
 
 #: Words of a window that must repeat, and words of an anchor.
 LENGTH, ANCHOR = 20, 6
-_TAIL = 5  # bytes of a window's hash beside its anchor's 8
+#: Occurrences beyond which an anchor's extensions are dealt one by one.
+HOT = 4096
+#: Slots of the two bitmaps of anchors; a full one costs time, not results.
+BITS = 22
+#: Column of the rows' numbers while a job runs.
+ROW = "_row_of_repeats"
+_CELL = 9  # bytes of an extension: words from the window's start to its anchor, and its hash
+_COLUMNS = ["kind", "deal", "h", "id", "row", "at", "n", "windows"]
+_SCHEMA = "kind int, deal long, h long, id long, row long, at long, n long, windows binary"
 
 
 def _least(grams: np.ndarray, width: int) -> np.ndarray:
@@ -35,113 +44,143 @@ def _least(grams: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _anchors(block: pa.RecordBatch, key: str, text: str, length: int, anchor: int) -> pa.RecordBatch:
-    """One row for each anchor with the windows that chose it (kind 0), and runs of windows whose first place is in this
-    block (kind 1: of `n` windows from word `at` on)."""
-    ids = C.ids_of(block.column(key))
-    order = np.argsort(ids, kind="stable")
-    data, offsets = C.buffers(block.column(text).take(pa.array(order)))
-    ids = ids[order]
-    words = C.Words(data, offsets)
-    empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())], _COLUMNS)
-    at, full = words.grams(length)
-    if not len(at):
-        return empty
-    gram = C.span_hashes(words.hash, np.arange(len(words.doc) - anchor + 1), np.arange(len(words.doc) - anchor + 1) + anchor)
-    place = _least(gram, length - anchor + 1)[at]
-    # the windows' first places within the block; of rows with one id and equal texts none is earlier than another
-    _, first, same = np.unique(full, return_index=True, return_inverse=True)
-    doc, start = words.doc[at], at - words.base[words.doc[at]]
-    lead = first[same]
-    later = (ids[doc[lead]] < ids[doc]) | ((ids[doc[lead]] == ids[doc]) & (start[lead] < start))
-    rows = []
-    run = np.flatnonzero(later)
-    if len(run):
-        begin = np.flatnonzero(np.concatenate([[True], (np.diff(at[run]) != 1) | (np.diff(doc[run]) != 0)]))
-        n = np.diff(np.append(begin, len(run)))
-        b = run[begin]
-        rows.append((np.ones(len(b), np.int32), C.mix(n.astype(np.uint64) + ids[doc[b]].astype(np.uint64)).astype(np.int64), ids[doc[b]], start[b], n, np.zeros(0, np.uint8), np.zeros(len(b), np.int64)))
-    new = np.flatnonzero(first[same] == np.arange(len(at)))
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(place[new]) != 0]))
-    n = np.diff(np.append(begin, len(new)))
-    b = new[begin]
-    tail = np.empty((len(new), 1 + _TAIL), np.uint8)
-    tail[:, 0] = place[new] - at[new]
-    tail[:, 1:] = full[new].view(np.uint8).reshape(-1, 8)[:, :_TAIL]
-    rows.append((np.zeros(len(b), np.int32), gram[place[b]].astype(np.int64), ids[doc[b]], place[b] - words.base[doc[b]], n, tail.ravel(), n * (1 + _TAIL)))
-    joined = [np.concatenate(c) for c in zip(*rows, strict=True)]
-    ends = np.concatenate([[0], np.cumsum(joined[6])])
-    return pa.RecordBatch.from_arrays([*[pa.array(c) for c in joined[:5]], C.binary_column(joined[5], ends)], _COLUMNS)
-
-
-_COLUMNS = ["kind", "h", "id", "at", "n", "windows"]
-
-
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows (id, at, n) that begin earlier elsewhere, from rows in order of anchor, id and place.
-
-    Between batches only the windows already met under the last anchor are kept.
+class _Places:
+    """The windows of a block of documents in the order of (key, row, place), with their anchors."""
+
+    def __init__(self, block: pa.RecordBatch, key: str, text: str, length: int, anchor: int):
+        ids, rows = C.ids_of(block.column(key)), block.column(ROW).to_numpy()
+        order = np.lexsort((rows, ids))
+        self.ids, self.rows = ids[order], rows[order]
+        self.words = C.Words(*C.buffers(block.column(text).take(pa.array(order))))
+        self.at, self.full = self.words.grams(length)
+        n = len(self.words.doc) - anchor + 1 if len(self.at) else 0
+        self.gram = C.span_hashes(self.words.hash, np.arange(n), np.arange(n) + anchor)
+        self.place = _least(self.gram, length - anchor + 1)[self.at]
+        _, first, same = np.unique(self.full, return_index=True, return_inverse=True)
+        self.first = first[same] == np.arange(len(self.at))  # the window's first place in the block
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors whose windows are first places: the index of the first such window, how many, and the anchor's hash."""
+        new = np.flatnonzero(self.first)
+        begin = np.flatnonzero(np.diff(self.place[new], prepend=-1) != 0)
+        return new[begin], np.diff(np.append(begin, len(new))), self.gram[self.place[new[begin]]]
+
+
+def _counts(key: str, text: str, length: int, anchor: int):
+    """(h, n): how many places of a block bring each anchor."""
+
+    def step(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        h, n = np.unique(_Places(block, key, text, length, anchor).anchors()[2], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    return step
+
+
+def _bitmap(anchors: DataFrame) -> np.ndarray:
+    """Which of 2**BITS slots the anchors' hashes fall into; at most 2**(BITS - 6) rows reach the driver."""
+    slot = F.shiftrightunsigned("h", 64 - BITS)
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    for r in anchors.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - BITS}) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        out[r["w"]] = np.uint64(r["b"] & (1 << 64) - 1)
+    return out
+
+
+def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h >> np.uint64(64 - BITS)
+    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _seeds(key: str, text: str, length: int, anchor: int, twice: np.ndarray, hot: np.ndarray):
+    """Anchors that may occur twice with their extensions (kind 0), and runs of `n` windows from word `at` on whose first
+    place is in the same block (kind 1)."""
+
+    def step(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        p = _Places(block, key, text, length, anchor)
+        doc, start = p.words.doc[p.at], p.at - p.words.base[p.words.doc[p.at]]
+        run = np.flatnonzero(~p.first)
+        b = run[np.flatnonzero(np.concatenate([[True], (np.diff(p.at[run]) != 1) | (np.diff(doc[run]) != 0)]))] if len(run) else run
+        n = np.diff(np.append(np.searchsorted(run, b), len(run)))
+        none = np.zeros(len(b), np.int64)
+        deal = C.mix(p.rows[doc[b]].astype(np.uint64)).view(np.int64) if len(b) else none
+        parts = [(none + 1, deal, none, p.ids[doc[b]], p.rows[doc[b]], start[b], n, np.zeros((0, _CELL), np.uint8), none)]
+        lead, size, h = p.anchors()
+        use = _in(twice, h)
+        new = np.flatnonzero(p.first)
+        new = new[np.repeat(use, size)]
+        lead, size, h = lead[use], size[use], h[use]
+        cells = np.empty((len(new), _CELL), np.uint8)
+        cells[:, 0] = p.place[new] - p.at[new]
+        cells[:, 1:] = p.full[new].view(np.uint8).reshape(-1, 8)
+        split = _in(hot, h)
+        each = np.repeat(split, size)
+        # a hot anchor's extensions travel alone, and equal ones meet
+        for b, n, name, cell, deal in (
+            (lead[~split], size[~split], h[~split], cells[~each], h[~split]),
+            (new[each], np.ones(int(each.sum()), np.int64), np.repeat(h, size)[each], cells[each], C.mix(np.repeat(h, size)[each] ^ C.mix(p.full[new[each]]))),
+        ):
+            parts.append((np.zeros(len(b), np.int64), deal.view(np.int64), name.view(np.int64), p.ids[doc[b]], p.rows[doc[b]], p.place[b] - p.words.base[doc[b]], n, cell, n * _CELL))
+        joined = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        columns = [pa.array(joined[0], pa.int32()), *[pa.array(c, pa.int64()) for c in joined[1:7]]]
+        yield pa.RecordBatch.from_arrays([*columns, C.binary_column(joined[7].ravel(), np.concatenate([[0], np.cumsum(joined[8])]))], _COLUMNS)
+
+    return step
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows (row, at, n) that begin earlier elsewhere, from seeds in order of deal, anchor, key, row and place.
+
+    Between batches only the extensions already met under the last deal are kept, at most those of HOT places.
     """
-    names = ["id", "at", "n"]
-    last, seen = None, np.zeros((0, 3), np.int64)  # window key, id, start of the first place
+    names = ["row", "at", "n"]
+    last, seen = None, np.zeros((2, 0), np.uint64)
     for batch in batches:
-        kind, h, ids, at, n = (batch.column(i).to_numpy() for i in range(5))
+        kind, deal, h, _, rows, at, n = (batch.column(i).to_numpy() for i in range(7))
         ready = kind == 1
-        yield pa.RecordBatch.from_arrays([pa.array(x[ready]) for x in (ids, at, n)], names)
-        rows = np.flatnonzero(~ready)
-        if not len(rows):
+        yield pa.RecordBatch.from_arrays([pa.array(x[ready]) for x in (rows, at, n)], names)
+        use = np.flatnonzero(~ready)
+        if not len(use):
             continue
-        data, offsets = C.buffers(batch.column(5))
-        hot = h[rows]
-        shared = np.zeros(len(rows), bool)
-        shared[1:] |= hot[1:] == hot[:-1]
-        shared[:-1] |= hot[1:] == hot[:-1]
-        if last is not None:
-            shared |= hot == last
-        shared |= hot == hot[-1]  # its windows may come again in the next batch
-        use = rows[shared]
+        data, offsets = C.buffers(batch.column(7))
+        dealt = deal[use]
+        alone = np.ones(len(use), bool)
+        alone[1:] &= dealt[1:] != dealt[:-1]
+        alone[:-1] &= dealt[1:] != dealt[:-1]
+        alone &= (dealt != dealt[-1]) & (dealt != (dealt[-1] if last is None else last))  # these may go on in the next batch, or have begun before
+        use = use[~alone]
         size = n[use]
         row = np.repeat(use, size)
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        place = (offsets[row] + inside * (1 + _TAIL))[:, None] + np.arange(1 + _TAIL)
-        cell = np.zeros((len(row), 8), np.uint8)
-        cell[:, : 1 + _TAIL] = data[place]
-        window = cell.view(np.int64).ravel()  # distance to the anchor and hash: 6 bytes
-        start = at[row] - (window & 0xFF)
-        keys = np.concatenate([C.mix(seen[:, 0].astype(np.uint64)) ^ np.array([0 if last is None else last], np.int64).view(np.uint64), C.mix(window.astype(np.uint64)) ^ h[row].astype(np.uint64)])
-        all_id, all_start = np.concatenate([seen[:, 1], ids[row]]), np.concatenate([seen[:, 2], start])
-        _, first, same = np.unique(keys, return_index=True, return_inverse=True)
-        lead = first[same]  # rows come in order of id and place, so the first met is the earliest
-        later = (all_id[lead] < all_id) | ((all_id[lead] == all_id) & (all_start[lead] < all_start))
-        later = later[len(seen) :]
-        found_id, found_start = ids[row][later], start[later]
-        if len(found_id):
-            order = np.lexsort((found_start, found_id))
-            found_id, found_start = found_id[order], found_start[order]
-            begin = np.flatnonzero(np.concatenate([[True], (np.diff(found_id) != 0) | (np.diff(found_start) > 1)]))
-            stop = np.append(begin[1:], len(found_id)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(found_id[begin]), pa.array(found_start[begin]), pa.array(found_start[stop] - found_start[begin] + 1)], names)
-        mine = np.flatnonzero(h[row] == hot[-1])
-        before = seen if last == hot[-1] else seen[:0]
-        now = np.concatenate([before, np.stack([window[mine], ids[row][mine], start[mine]], 1)])
-        _, first = np.unique(now[:, 0], return_index=True)
-        last, seen = hot[-1], now[first]
-
-
-def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(id, at, n): runs of n windows from word `at` on whose words also begin earlier (smaller id, or same id and place).
-
-    A null key is the smallest.  Blocks of text settle their own repeats first, so of a passage with many copies a task
-    sends one; what is left is sorted by anchor and read in one pass.
+        cells = data[(offsets[row] + inside * _CELL)[:, None] + np.arange(_CELL)]
+        back, window = cells[:, 0].astype(np.int64), np.ascontiguousarray(cells[:, 1:]).view(np.uint64).ravel()
+        start, name = at[row] - back, C.mix(h[row].view(np.uint64)) + back.astype(np.uint64)
+        keys = np.concatenate([seen, np.stack([name, window])], 1)
+        order = np.lexsort((np.arange(keys.shape[1]), keys[1], keys[0]))
+        same = np.zeros(keys.shape[1], bool)
+        same[order[1:]] = (keys[:, order[1:]] == keys[:, order[:-1]]).all(0)  # the first met of equal ones is the earliest
+        later = same[seen.shape[1] :]
+        found_row, found_start = rows[row][later], start[later]
+        if len(found_row):
+            by = np.lexsort((found_start, found_row))
+            found_row, found_start = found_row[by], found_start[by]
+            begin = np.flatnonzero(np.concatenate([[True], (np.diff(found_row) != 0) | (np.diff(found_start) > 1)]))
+            stop = np.append(begin[1:], len(found_row)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(found_row[begin]), pa.array(found_start[begin]), pa.array(found_start[stop] - found_start[begin] + 1)], names)
+        mine = np.concatenate([np.full(seen.shape[1], last == dealt[-1]), deal[row] == dealt[-1]]) & ~same
+        last, seen = dealt[-1], keys[:, mine]
+
+
+def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+    """(row, at, n): runs of n windows from word `at` on whose words also begin earlier: under a smaller key, under the same
+    key in a row of smaller number, or before in the same row.
+
+    df has a distinct number for each row in ROW.  A null key is the smallest.  Blocks of text settle their own repeats
+    first, so of a passage with many copies a task sends one.
     """
-    rows = df.select(key, text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in C.blocks(batches, text):
-            yield _anchors(block, key, text, length, anchor)
-
-    anchors = rows.mapInArrow(run, "kind int, h long, id long, at long, n long, windows binary")
-    return anchors.repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(_repeats, "id long, at long, n long")
+    rows = df.select(key, ROW, text)
+    counted = rows.mapInArrow(C.in_arrow(_counts(key, text, length, anchor), text), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = C.staged(counted.where("n > 1"))
+    seeds = rows.mapInArrow(C.in_arrow(_seeds(key, text, length, anchor, _bitmap(counted), _bitmap(counted.where(F.col("n") > hot))), text), _SCHEMA)
+    return seeds.repartition("deal").sortWithinPartitions("deal", "h", "id", "row", "at").mapInArrow(_extended, "row long, at long, n long")
 
 
 def _without(data: bytes, text_runs: list[dict] | None, length: int) -> tuple[int, int, bytes]:
@@ -157,20 +196,20 @@ def _without(data: bytes, text_runs: list[dict] | None, length: int) -> tuple[in
     return len(words), int(len(words) - kept.sum()), b" ".join(w for w, k in zip(words, kept, strict=True) if k)
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """df with `text` cut down to the words that no repeated window covers, and n_words and n_removed.
 
     Words are runs of other characters than space, tab, line feed, vertical tab, form feed and return.  A null text has
-    no words and stays null; a text without repeats keeps its words, joined by single spaces.  Rows with one key are one
-    document at one place in the order: equal texts under one key do not repeat each other, and a key's removals are
-    those found for any of its rows.  Only texts whose key may have repeats are moved; the others are cut where they are read.
+    no words and stays null; a text without repeats keeps its words, joined by single spaces.  Every row is a document of its
+    own, also where rows share or lack a key: of equal keys the row read first is the earlier one, so a repeated row loses
+    what repeats.  Only texts that may have repeats are moved; the others are cut where they are read.
     """
     df = df.drop("n_words", "n_removed")
-    found = C.staged(repeated_windows(df, key, text, length, anchor))
-    runs = found.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))  # at most one document's windows
-    id_ = F.coalesce(F.col(key).cast("long"), F.lit(C.NULL_ID))
-    tagged = C.maybe_in(df.withColumn("_id", id_), "_id", C.bitmap(found, "id"))
-    joined = tagged.where("_maybe").join(runs, F.col("_id") == F.col("id"), "left").drop("id")
+    numbered = C.staged(df.withColumn(ROW, F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    found = C.staged(repeated_windows(numbered, key, text, length, anchor, hot))
+    runs = found.groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("at", "n")).alias("_runs"))  # at most one document's windows
+    tagged = C.maybe_in(numbered, ROW, C.bitmap(found, "row"))
+    joined = tagged.where("_maybe").join(runs, ROW, "left")
     rest = tagged.where(~F.col("_maybe")).withColumn("_runs", F.lit(None).cast(runs.schema["_runs"].dataType))
 
     names = df.columns

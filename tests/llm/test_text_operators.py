@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from rosterlab.llm import op1_winnowing, op7_substrings, op8_shuffle, op9_partenum
 
@@ -238,3 +239,38 @@ def test_shards_are_written(make, spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 40
     assert back.select("shard").distinct().count() == 3
+
+
+def plain_repeats(rows, length):
+    """(n_words, kept words) of each row, rows in the order of key (null first) and row; removal judged on the input."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
+    seen, out = set(), {}
+    for i in order:
+        words = re.findall(r"[^\x20\x09-\x0D]+", rows[i][1] or "")
+        gone = set()
+        for at in range(len(words) - length + 1):
+            window = tuple(words[at : at + length])
+            if window in seen:
+                gone |= set(range(at, at + length))
+            seen.add(window)
+        out[i] = (len(words), [w for at, w in enumerate(words) if at not in gone])
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 4, 4096])
+def test_repeats_are_found_by_row_also_under_one_or_no_key(spark, hot):
+    rng = random.Random(hot)
+    phrase = [f"p{i}" for i in range(8)]
+    rows = []
+    for i in range(120):
+        words = rng.choices([f"w{k}" for k in range(40)], k=rng.randint(0, 40))
+        if i % 3 == 0:  # a phrase in a third of the rows, with different surroundings
+            at = rng.randint(0, len(words))
+            words[at:at] = phrase
+        rows.append((rng.choice([None, 1, 2, 3, i]), " ".join(words) if i % 17 else None))
+    w25 = " ".join(f"a{i}" for i in range(25))
+    rows += [(1001, w25), (1005, w25), (1005, "short text"), (1005, " ".join(f"u{i}" for i in range(40))), (None, w25), rows[3], rows[3], (2000, "x " * 300)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")  # partitions keep the rows' order
+    got = {r.row: (r.n_words, r.text) for r in op7_substrings.remove_repeats(df, length=7, anchor=3, hot=hot).collect()}
+    for i, (n, kept) in plain_repeats(rows, 7).items():
+        assert got[i] == (n, None if rows[i][1] is None else " ".join(kept)), i
