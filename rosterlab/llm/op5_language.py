@@ -3,6 +3,7 @@ follow-the-regularised-leader under an elastic net, followed by temperature cali
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,10 @@ _TABLE: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """For code points below 65,536: the point itself if a letter, else a space."""
+    """For every code point: the point itself if a letter, else a space."""
     if not _TABLE:
-        points = np.arange(1 << 16, dtype=np.uint32)
-        letter = np.fromiter((chr(p).isalpha() for p in range(1 << 16)), bool, 1 << 16)
+        points = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+        letter = np.fromiter((chr(p).isalpha() for p in range(len(points))), bool, len(points))
         _TABLE.append(np.where(letter, points, 32).astype(np.uint32))
     return _TABLE[0]
 
@@ -38,7 +39,7 @@ def gram_counts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool
     low = [f" {t.lower()} " for t in texts]
     size = np.array([len(t) for t in low], np.int64)
     points = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
-    points = np.where(points < 1 << 16, _letters()[points & 0xFFFF], points)
+    points = _letters()[points]
     ends = np.cumsum(size)
     space = points == 32
     keep = np.ones(len(points), bool)
@@ -157,7 +158,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Learns from the rows of df with a language; n-gram frequencies are of all rows of df whatever their language.
+    """Learns from the rows of df with a language, n-gram frequencies too; rows without a language or text teach nothing.
 
     The fitted sample is bounded by `rows_per_language` on average: rows are taken by a hash of the key below a share that
     each language's count sets.  A fifth of it is kept apart for the temperature.
@@ -165,7 +166,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
-    seen, total = document_frequencies(df, text)
+    seen, total = document_frequencies(rows, text)
     idf = np.log((1 + total) / (1 + seen)) + 1
     if not languages:
         return Model([], np.zeros((FEATURES, 0)), np.zeros(0), idf, 1.0)

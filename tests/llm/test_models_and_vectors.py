@@ -224,3 +224,15 @@ def test_every_operator_has_a_query(n):
 
 def test_entry_has_the_pipeline():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_letters_of_all_planes_and_only_learned_rows(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("der hund und die katze", "de"), ("the dog and the cat", "en")] * 60)]
+    rows += [(1000 + i, "😀 zzz 42 qqq", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op5_language.fit(df)
+    assert np.array_equal(model.idf, op5_language.fit(df.where("lang is not null")).idf)
+    texts = ["😀😀", "😀 12", "\U000103a0", "\U0001d400\U0001d401", "12 ?!", None, "", "𒀀"]
+    out = op5_language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    got = [r.lang_pred for r in out.orderBy("doc_id").collect()]
+    assert [g == "und" for g in got] == [not any(c.isalpha() for c in t or "") for t in texts]
