@@ -41,12 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The rows written once to the shared folder that the cluster names, and read back: cuts lineage, survives executors."""
     spark = df.sparkSession
     importable(spark)
     path = f"{shared_folder(spark).rstrip('/')}/rosterlab-llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

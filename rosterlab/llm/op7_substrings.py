@@ -2,10 +2,9 @@
 
 Every window of `length` words holds exactly one chosen anchor: the word gram of least hash in it, of equal ones the
 rightmost.  Equal windows therefore choose equal anchors at equal distances, so joining documents on anchors loses no
-match.  Anchors are counted first, and only those that may occur twice are joined.  An occurrence brings a 64-bit hash for
-each way to extend it left and right to the full length; two occurrences agree on a window where anchor, distance and that
-hash agree (128 bits).  An anchor that very many places share is dealt by anchor and extension, so no task holds all its
-places.  Repeated windows that overlap are one maximal repeat of at least `length` words, whose words go.
+match.  An occurrence brings a 48-bit hash for each way to extend it left and right to the full length; two occurrences
+agree on a window where anchor, distance and that hash agree (112 bits and the distance).  Anchors are counted in slots
+first: one that very many places share is dealt by anchor and extension, so no task holds all its places.  Repeated windows that overlap are one maximal repeat of at least `length` words, whose words go.
 """
 
 from __future__ import annotations
@@ -21,15 +20,14 @@ from rosterlab.llm import common as C
 
 #: Words of a window that must repeat, and words of an anchor.
 LENGTH, ANCHOR = 20, 6
-#: Occurrences beyond which an anchor's extensions are dealt one by one.
-HOT = 4096
-#: Slots of the two bitmaps of anchors; a full one costs time, not results.
-BITS = 22
+#: Slots that anchors are counted in by their hash; a slot is hot beyond HOT places and CROWDED times the mean slot.
+#: Extensions of its anchors are dealt one by one; which slots are decides the work, never the result.
+SLOT_BITS, HOT, CROWDED = 16, 4096, 4
 #: Column of the rows' numbers while a job runs.
 ROW = "_row_of_repeats"
-_CELL = 9  # bytes of an extension: words from the window's start to its anchor, and its hash
-_COLUMNS = ["kind", "deal", "h", "id", "row", "at", "n", "windows"]
-_SCHEMA = "kind int, deal long, h long, id long, row long, at long, n long, windows binary"
+_CELL = 7  # bytes of an extension: words from the window's start to its anchor, and its hash
+_COLUMNS = ["kind", "h", "id", "row", "at", "n", "windows"]
+_SCHEMA = "kind int, h long, id long, row long, at long, n long, windows binary"
 
 
 def _least(grams: np.ndarray, width: int) -> np.ndarray:
@@ -66,32 +64,30 @@ class _Places:
         return new[begin], np.diff(np.append(begin, len(new))), self.gram[self.place[new[begin]]]
 
 
-def _counts(key: str, text: str, length: int, anchor: int):
-    """(h, n): how many places of a block bring each anchor."""
-
-    def step(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        h, n = np.unique(_Places(block, key, text, length, anchor).anchors()[2], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    return step
+def _slots(key: str, text: str, length: int, anchor: int):
+    """(slot, n): how many places of a task's blocks bring anchors of each slot."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for block in C.blocks(batches, text):
+            total += np.bincount((_Places(block, key, text, length, anchor).anchors()[2] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["slot", "n"])
 
-def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """Which of 2**BITS slots the anchors' hashes fall into; at most 2**(BITS - 6) rows reach the driver."""
-    slot = F.shiftrightunsigned("h", 64 - BITS)
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    for r in anchors.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - BITS}) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        out[r["w"]] = np.uint64(r["b"] & (1 << 64) - 1)
-    return out
+    return run
 
 
-def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h >> np.uint64(64 - BITS)
-    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+def hot_slots(rows: DataFrame, key: str, text: str, length: int, anchor: int, hot: int) -> np.ndarray:
+    """Which of the 2**SLOT_BITS slots are hot."""
+    counted = rows.mapInArrow(_slots(key, text, length, anchor), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in counted.collect():  # one row a slot
+        total[r["slot"]] = r["n"]
+    return (total > hot) & (total > CROWDED * total.mean())
 
 
-def _seeds(key: str, text: str, length: int, anchor: int, twice: np.ndarray, hot: np.ndarray):
-    """Anchors that may occur twice with their extensions (kind 0), and runs of `n` windows from word `at` on whose first
+def _seeds(key: str, text: str, length: int, anchor: int, hot: np.ndarray):
+    """Anchors with their extensions (kind 0), and runs of `n` windows from word `at` on whose first
     place is in the same block (kind 1)."""
 
     def step(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -102,45 +98,43 @@ def _seeds(key: str, text: str, length: int, anchor: int, twice: np.ndarray, hot
         n = np.diff(np.append(np.searchsorted(run, b), len(run)))
         none = np.zeros(len(b), np.int64)
         deal = C.mix(p.rows[doc[b]].astype(np.uint64)).view(np.int64) if len(b) else none
-        parts = [(none + 1, deal, none, p.ids[doc[b]], p.rows[doc[b]], start[b], n, np.zeros((0, _CELL), np.uint8), none)]
+        parts = [(none + 1, deal, p.ids[doc[b]], p.rows[doc[b]], start[b], n, np.zeros((0, _CELL), np.uint8), none)]
         lead, size, h = p.anchors()
-        use = _in(twice, h)
         new = np.flatnonzero(p.first)
-        new = new[np.repeat(use, size)]
-        lead, size, h = lead[use], size[use], h[use]
         cells = np.empty((len(new), _CELL), np.uint8)
         cells[:, 0] = p.place[new] - p.at[new]
-        cells[:, 1:] = p.full[new].view(np.uint8).reshape(-1, 8)
-        split = _in(hot, h)
+        cells[:, 1:] = p.full[new].view(np.uint8).reshape(-1, 8)[:, : _CELL - 1]
+        split = hot[h >> np.uint64(64 - SLOT_BITS)]
         each = np.repeat(split, size)
         # a hot anchor's extensions travel alone, and equal ones meet
-        for b, n, name, cell, deal in (
-            (lead[~split], size[~split], h[~split], cells[~each], h[~split]),
-            (new[each], np.ones(int(each.sum()), np.int64), np.repeat(h, size)[each], cells[each], C.mix(np.repeat(h, size)[each] ^ C.mix(p.full[new[each]]))),
+        for b, n, cell, name in (
+            (lead[~split], size[~split], cells[~each], h[~split]),
+            (new[each], np.ones(int(each.sum()), np.int64), cells[each], C.mix(np.repeat(h, size)[each] ^ C.mix(p.full[new[each]]))),
         ):
-            parts.append((np.zeros(len(b), np.int64), deal.view(np.int64), name.view(np.int64), p.ids[doc[b]], p.rows[doc[b]], p.place[b] - p.words.base[doc[b]], n, cell, n * _CELL))
+            parts.append((np.zeros(len(b), np.int64), name.view(np.int64), p.ids[doc[b]], p.rows[doc[b]], p.place[b] - p.words.base[doc[b]], n, cell, n * _CELL))
         joined = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        columns = [pa.array(joined[0], pa.int32()), *[pa.array(c, pa.int64()) for c in joined[1:7]]]
-        yield pa.RecordBatch.from_arrays([*columns, C.binary_column(joined[7].ravel(), np.concatenate([[0], np.cumsum(joined[8])]))], _COLUMNS)
+        columns = [pa.array(joined[0], pa.int32()), *[pa.array(c, pa.int64()) for c in joined[1:6]]]
+        yield pa.RecordBatch.from_arrays([*columns, C.binary_column(joined[6].ravel(), np.concatenate([[0], np.cumsum(joined[7])]))], _COLUMNS)
 
     return step
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows (row, at, n) that begin earlier elsewhere, from seeds in order of deal, anchor, key, row and place.
+    """Runs of windows (row, at, n) that begin earlier elsewhere, from seeds in order of anchor, key, row and place.
 
-    Between batches only the extensions already met under the last deal are kept, at most those of HOT places.
+    Between batches only the extensions already met under the last anchor are kept; an anchor of more places than a hot slot
+    has is dealt by extension.
     """
     names = ["row", "at", "n"]
     last, seen = None, np.zeros((2, 0), np.uint64)
     for batch in batches:
-        kind, deal, h, _, rows, at, n = (batch.column(i).to_numpy() for i in range(7))
+        kind, deal, _, rows, at, n = (batch.column(i).to_numpy() for i in range(6))
         ready = kind == 1
         yield pa.RecordBatch.from_arrays([pa.array(x[ready]) for x in (rows, at, n)], names)
         use = np.flatnonzero(~ready)
         if not len(use):
             continue
-        data, offsets = C.buffers(batch.column(7))
+        data, offsets = C.buffers(batch.column(6))
         dealt = deal[use]
         alone = np.ones(len(use), bool)
         alone[1:] &= dealt[1:] != dealt[:-1]
@@ -151,9 +145,10 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(use, size)
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         cells = data[(offsets[row] + inside * _CELL)[:, None] + np.arange(_CELL)]
-        back, window = cells[:, 0].astype(np.int64), np.ascontiguousarray(cells[:, 1:]).view(np.uint64).ravel()
-        start, name = at[row] - back, C.mix(h[row].view(np.uint64)) + back.astype(np.uint64)
-        keys = np.concatenate([seen, np.stack([name, window])], 1)
+        wide = np.zeros((len(row), 8), np.uint8)
+        wide[:, :_CELL] = cells  # distance and hash
+        start = at[row] - cells[:, 0]
+        keys = np.concatenate([seen, np.stack([deal[row].view(np.uint64), wide.view(np.uint64).ravel()])], 1)
         order = np.lexsort((np.arange(keys.shape[1]), keys[1], keys[0]))
         same = np.zeros(keys.shape[1], bool)
         same[order[1:]] = (keys[:, order[1:]] == keys[:, order[:-1]]).all(0)  # the first met of equal ones is the earliest
@@ -177,10 +172,8 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", len
     first, so of a passage with many copies a task sends one.
     """
     rows = df.select(key, ROW, text)
-    counted = rows.mapInArrow(C.in_arrow(_counts(key, text, length, anchor), text), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    counted = C.staged(counted.where("n > 1"))
-    seeds = rows.mapInArrow(C.in_arrow(_seeds(key, text, length, anchor, _bitmap(counted), _bitmap(counted.where(F.col("n") > hot))), text), _SCHEMA)
-    return seeds.repartition("deal").sortWithinPartitions("deal", "h", "id", "row", "at").mapInArrow(_extended, "row long, at long, n long")
+    seeds = rows.mapInArrow(C.in_arrow(_seeds(key, text, length, anchor, hot_slots(rows, key, text, length, anchor, hot)), text), _SCHEMA)
+    return seeds.repartition("h").sortWithinPartitions("h", "id", "row", "at").mapInArrow(_extended, "row long, at long, n long")
 
 
 def _without(data: bytes, text_runs: list[dict] | None, length: int) -> tuple[int, int, bytes]:
@@ -205,7 +198,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     what repeats.  Only texts that may have repeats are moved; the others are cut where they are read.
     """
     df = df.drop("n_words", "n_removed")
-    numbered = C.staged(df.withColumn(ROW, F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    numbered = C.staged(df.withColumn(ROW, F.monotonically_increasing_id()), "zstd")  # written, so that a row keeps its number
     found = C.staged(repeated_windows(numbered, key, text, length, anchor, hot))
     runs = found.groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("at", "n")).alias("_runs"))  # at most one document's windows
     tagged = C.maybe_in(numbered, ROW, C.bitmap(found, "row"))

@@ -257,7 +257,7 @@ def plain_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 4, 4096])
+@pytest.mark.parametrize("hot", [1, 40, 4096])
 def test_repeats_are_found_by_row_also_under_one_or_no_key(spark, hot):
     rng = random.Random(hot)
     phrase = [f"p{i}" for i in range(8)]
