@@ -238,8 +238,11 @@ def bring_back(spark, d):
     return L.bring_back(_clean(spark, d))
 
 
-_SQL_CONFLICTS = """(SELECT r.contest_id, r.lineup, r.player_id AS rb_id, x.player_id AS dst_id, x.team AS dst_team
-    FROM v_lineups r JOIN v_lineups x ON x.contest_id = r.contest_id AND x.lineup = r.lineup AND x.team = r.opp AND x.pos = 'DST' WHERE r.pos = 'RB')"""
+# Backs and defenses are narrowed first: a join of the whole table with itself took the checker minutes.
+_SQL_CONFLICTS = """(WITH backs AS MATERIALIZED (SELECT contest_id, lineup, player_id, opp FROM v_lineups WHERE pos = 'RB' AND opp IS NOT NULL),
+        defenses AS MATERIALIZED (SELECT contest_id, lineup, player_id, team FROM v_lineups WHERE pos = 'DST')
+    SELECT r.contest_id, r.lineup, r.player_id AS rb_id, x.player_id AS dst_id, x.team AS dst_team
+    FROM backs r JOIN defenses x ON x.contest_id = r.contest_id AND x.lineup = r.lineup AND x.team = r.opp)"""
 
 
 @register("rb_vs_dst_conflicts", f"SELECT * FROM {_SQL_CONFLICTS}")
