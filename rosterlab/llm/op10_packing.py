@@ -135,57 +135,82 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def _pair_sums(own: np.ndarray) -> np.ndarray:
+    """All sums of two of the lengths; distinct lengths of one bin are few, because they add up to its capacity at most."""
+    one, n = np.unique(own, return_counts=True)
+    i, j = np.triu_indices(len(one))
+    some = (i != j) | (n[i] > 1)
+    return np.unique(one[i[some]] + one[j[some]])
+
+
+def _two_of(own: np.ndarray, total: int) -> list[int]:
+    """Places of two of the lengths with that sum, by two pointers over the sorted lengths."""
+    order = np.argsort(own, kind="stable")
+    x, y = 0, len(own) - 1
+    while (found := own[order[x]] + own[order[y]]) != total:
+        x, y = (x + 1, y) if found < total else (x, y - 1)
+    return [int(order[x]), int(order[y])]
+
+
 def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Moves and exchanges among underfull bins that increase the sum of squared fills, until bins empty or none is left.
 
-    The emptiest bin is worked on: an item moves where it fits best; else it is exchanged for a smaller item, or two of its
-    items for one, of a fuller bin with room for the difference.  Every step raises the sum of squares, so the search ends;
-    it ends at once when all items could not do with one bin less.
+    The emptiest bin is worked on: an item moves where it fits best; else it is exchanged for a smaller item, or any two of
+    its items for one, of a fuller bin with room for the difference, always with the largest gain.  Every step raises the sum
+    of squares, so the search ends; it ends at once when all items could not do with one bin less.  A bin without a step is
+    tried again after all others, as long as any of them has changed: the end is a packing that no step improves.
     """
     bins, lengths = bins.copy(), np.asarray(lengths, np.int64)
     least = -(-int(lengths.sum()) // capacity)
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
-    stuck: set[int] = set()
-    while (fill > 0).sum() > least:
-        open_ = np.flatnonzero((fill > 0) & (fill < capacity))
-        open_ = open_[~np.isin(open_, list(stuck))] if stuck else open_
-        if len(open_) < 2:
-            break
-        a = int(open_[fill[open_].argmin()])
-        while fill[a]:
-            room = np.where(fill > 0, capacity - fill, 0)
-            room[a] = 0
-            mine = np.flatnonzero(bins == a)
-            mine = mine[np.argsort(-lengths[mine], kind="stable")]
-            changed = False
-            for i in mine:  # move
-                fits = np.flatnonzero((room >= lengths[i]) & (fill + lengths[i] > fill[a]))
-                if len(fits):
-                    b = int(fits[room[fits].argmin()])
-                    bins[i] = b
-                    fill[a] -= lengths[i]
-                    fill[b] += lengths[i]
-                    changed = True
-                    break
-            if changed:
-                continue
-            others = np.flatnonzero((room[bins] > 0) & (bins != a) & (fill[bins] >= fill[a]))
-            gives = [(i,) for i in mine] + [(i, j) for x, i in enumerate(mine[:24]) for j in mine[x + 1 : 24]]
-            for give in gives:  # one for one, then two for one
-                size = int(lengths[list(give)].sum())
-                gain = size - lengths[others]
-                good = (gain > 0) & (gain <= room[bins[others]])
-                if good.any():
-                    o = int(others[np.where(good, gain, -1).argmax()])
-                    b, d = int(bins[o]), size - int(lengths[o])
-                    bins[list(give)], bins[o] = b, a
-                    fill[a] -= d
-                    fill[b] += d
-                    changed = True
-                    break
+    used = int((fill > 0).sum())
+    stuck, changed = np.zeros(len(fill), bool), False
+    # only items of underfull bins take part; a full bin never changes again
+    part = np.flatnonzero(fill[bins] < capacity)
+    while used > least:
+        open_ = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
+        if not len(open_):
             if not changed:
-                stuck.add(a)
                 break
+            stuck[:], changed = False, False
+            continue
+        a = int(open_[fill[open_].argmin()])
+        here = bins[part] == a
+        mine, rest = part[here], part[~here]
+        own = lengths[mine]
+        room = np.where((fill > 0) & (fill >= fill[a]), capacity - fill, 0)
+        room[a] = 0
+        # a move needs room only; an item may go to a bin that becomes fuller than this one was
+        takes = np.where(fill > 0, capacity - fill, 0)
+        takes[a] = 0
+        step = False
+        for size in np.unique(own)[::-1]:
+            fits = np.flatnonzero((takes >= size) & (fill + size > fill[a]))
+            if len(fits):
+                b, i = int(fits[takes[fits].argmin()]), int(mine[np.flatnonzero(own == size)[0]])
+                bins[i], fill[a], fill[b], step = b, fill[a] - size, fill[b] + size, True
+                break
+        if not step:
+            theirs, space = lengths[rest], room[bins[rest]]
+            for two in (False, True):  # one for one, then two for one
+                sums = _pair_sums(own) if two else np.unique(own)
+                at = np.searchsorted(sums, theirs + space, "right") - 1
+                gain = np.where((at >= 0) & (space > 0), sums[np.maximum(at, 0)] - theirs, 0) if len(sums) else np.zeros(0, np.int64)
+                if not len(gain) or gain.max() <= 0:
+                    continue
+                o = int(gain.argmax())
+                b, total = int(bins[rest[o]]), int(sums[at[o]])
+                give = mine[_two_of(own, total)] if two else mine[np.flatnonzero(own == total)[:1]]
+                bins[give], bins[rest[o]] = b, a
+                fill[a], fill[b], step = fill[a] - gain[o], fill[b] + gain[o], True
+                break
+        if not step:
+            stuck[a] = True
+            continue
+        changed = True
+        used -= fill[a] == 0
+        if fill[b] == capacity or not fill[a]:
+            part = part[fill[bins[part]] < capacity]
     return np.unique(bins, return_inverse=True)[1]
 
 

@@ -236,3 +236,24 @@ def test_letters_of_all_planes_and_only_learned_rows(spark):
     out = op5_language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
     got = [r.lang_pred for r in out.orderBy("doc_id").collect()]
     assert [g == "und" for g in got] == [not any(c.isalpha() for c in t or "") for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_ends_where_no_exchange_is_left(seed):
+    """Brute force over every move, one-for-one and two-for-one exchange of the emptier bin; bins of many short items too."""
+    rng = np.random.default_rng(seed)
+    capacity = 60
+    lengths = rng.integers(1, [50, 30, 12, 4, 25, 40][seed], 70)
+    bins = op10_packing.local_search(lengths, op10_packing.best_fit(lengths, capacity), capacity)
+    fill = np.bincount(bins, weights=lengths).astype(int)
+    assert fill.max() <= capacity and fill.sum() == lengths.sum()
+    if len(fill) == -(-lengths.sum() // capacity):
+        return
+    for a in range(len(fill)):
+        mine = np.flatnonzero(bins == a)
+        gives = [(i,) for i in mine] + [(i, j) for x, i in enumerate(mine) for j in mine[x + 1 :]]
+        for b in range(len(fill)):
+            if a == b or fill[b] < fill[a] or capacity in (fill[a], fill[b]):
+                continue
+            takes = [0, *lengths[bins == b]]
+            assert not any(0 < lengths[list(g)].sum() - t <= capacity - fill[b] and not (t == 0 and len(g) == 2) for g in gives for t in takes)
