@@ -54,10 +54,30 @@ def _tables(spark, d):
     return IdentityTables(view(spark, d, "v_players"), view(spark, d, "v_external_ids"), view(spark, d, "v_aliases"))
 
 
-@register("export_identity", "SELECT player_id, source_name, external_id, external_name, confidence_score FROM v_external_ids")
+def _as_text(name: str, frame):
+    """Rows of one table as (table, values)."""
+    return frame.select(F.lit(name).alias("tab"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in frame.columns]).alias("row"))
+
+
+def _sql_text(name: str, columns: tuple[str, ...], source: str) -> str:
+    return f"SELECT '{name}' AS tab, concat_ws('|', {', '.join(f'coalesce(CAST({c} AS VARCHAR), chr(126))' for c in columns)}) AS row FROM {source}"
+
+
+_PLAYER = ("canonical_name", "first_name", "last_name", "position", "team", "nfl_id")
+_EXTERNAL, _ALIAS = ("source_name", "external_id", "external_name", "confidence_score"), ("alias_name", "source_name", "confidence_score")
+_SQL_TABLES = " UNION ALL ".join([
+    _sql_text("players", ("id", *_PLAYER), "v_players"), _sql_text("external_ids", ("player_id", *_EXTERNAL), "v_external_ids"), _sql_text("aliases", ("player_id", *_ALIAS), "v_aliases"),
+])
+
+
+@register("export_identity", _SQL_TABLES)
 def export_identity(spark, d):
-    written = I.export_identity(_tables(spark, d), scratch_path(spark, "identity"), fmt="csv")
-    return spark.read.schema(I.EXTERNAL_IDS).option("header", True).csv(written["external_ids"])
+    """All three tables as CSV, read back."""
+    path = scratch_path(spark, "identity")
+    written = I.export_identity(_tables(spark, d), path, fmt="csv")
+    read = {n: spark.read.schema(schema).option("header", True).csv(written[n]) for n, schema in I.FILES.items()}
+    players, ids, aliases = read["players_master"].select("id", *_PLAYER), read["external_ids"].select("player_id", *_EXTERNAL), read["aliases"].select("player_id", *_ALIAS)
+    return _as_text("players", players).union(_as_text("external_ids", ids)).union(_as_text("aliases", aliases))
 
 
 @register(

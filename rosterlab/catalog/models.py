@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlab import constants as C
@@ -24,21 +27,30 @@ def weekly_features(spark, d):
     return W.rolling_sums_of_columns(W.rolling_features(weekly))
 
 
-@register(
-    "training_set",
-    f"""SELECT 'fill' AS rule, player_id, seq, fantasy_points_ppr, round(coalesce(fp_avg_3, 0), 4) AS fp_avg_3, round(coalesce(passing_yards_avg, 0), 4) AS passing_yards_avg
-        FROM {_SQL_FEATURES} WHERE pos = 'QB'
-        UNION ALL SELECT 'drop', player_id, seq, fantasy_points_ppr, round(fp_avg_3, 4), round(passing_yards_avg, 4)
-        FROM {_SQL_FEATURES} WHERE pos = 'QB' AND fp_avg_3 IS NOT NULL AND passing_yards_avg IS NOT NULL""",
+_SQL_ALL_FEATURES = "(SELECT *, {} FROM v_weekly WHERE pos IS NOT NULL AND fantasy_points_ppr IS NOT NULL)".format(
+    ", ".join(f"avg({source}) {_FRAME} AS {name}" for name, source in {**W.ROLLING_COLUMNS, **{n: " + ".join(c) for n, c in W.ROLLING_SUMS.items()}}.items())
 )
+
+
+def _sql_training(pos: str, rule: str) -> str:
+    columns = C.TRAINING_FEATURES[pos]
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in columns) if rule == "drop" else "true"
+    return " UNION ALL ".join(
+        f"""SELECT '{rule}' AS rule, pos, player_id, seq, fantasy_points_ppr, '{c}' AS feature, round(coalesce({c}, 0), 4) AS value
+            FROM all_features WHERE pos = '{pos}' AND {complete}"""
+        for c in columns
+    )
+
+
+@register("training_set", f"WITH all_features AS MATERIALIZED {_SQL_ALL_FEATURES} " + " UNION ALL ".join(_sql_training(p, r) for p in C.POSITIONS for r in ("fill", "drop")))
 def training_set(spark, d):
+    """The training rows of every position under both rules, a row for each feature."""
     features = weekly_features(spark, d)
-    columns = C.TRAINING_FEATURES["QB"]
-    sets = [
-        M.training_set(features, "QB", rule).select(F.lit(rule).alias("rule"), *KEYS, M.TARGET, *[F.round(c, 4).alias(c) for c in columns])
-        for rule in ("fill", "drop")
-    ]
-    return sets[0].unionByName(sets[1])
+    sets = []
+    for pos in C.POSITIONS:
+        values = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(c, 4).alias("value")) for c in C.TRAINING_FEATURES[pos]])
+        sets += [M.training_set(features, pos, rule).select(F.lit(rule).alias("rule"), "pos", *KEYS, M.TARGET, F.inline(values)) for rule in ("fill", "drop")]
+    return reduce(DataFrame.unionByName, sets)
 
 
 @register(
