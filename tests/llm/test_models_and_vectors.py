@@ -137,26 +137,43 @@ def planted_vectors(rows, pairs, cosine, seed=7, width=64, alike=0.8):
     return v, at
 
 
-@pytest.mark.parametrize(("window", "least"), [(1024, 1.0), (16, 0.98)])
+@pytest.mark.parametrize(("window", "least"), [(2048, 1.0), (128, 0.98), (16, 0.9)])
 def test_vectors_of_a_hot_cluster(spark, window, least):
     v, at = planted_vectors(6000, 100, 0.905)
-    whole = op2_projections.plan(len(v), v[::12], window=window)
-    assert whole == (0, 1) if window == 1024 else whole[0] > 0
     df = spark.createDataFrame(enumerate(v.tolist()), "vec_id long, embedding array<double>")
     out = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in op2_projections.near_vectors(df, window=window).collect()}
     together = [out[i][1] == out[i + 1][1] for i in at.tolist()]
     assert np.mean(together) >= least
     links = (v @ v.T >= 0.9).sum(1) - 1
     assert np.mean([out[i][0] == n for i, n in enumerate(links.tolist())]) >= least
+    assert all(out[i][0] <= n for i, n in enumerate(links.tolist()))
 
 
-def test_codes_of_many_rows_are_compared_in_tiles(spark):
+def test_windows_reach_over_blocks_and_ranges(spark):
     v, _ = planted_vectors(1500, 40, 0.92)
     reps = spark.createDataFrame([(i, x, 64) for i, x in enumerate(v.tolist())], "rep long, v array<double>, size int")
-    found = op2_projections.C.components(op2_projections.sorted_pass_pairs(reps, tile_bytes=200 * 8 * 64)).collect()
-    got = {x["node"]: x["component"] for x in found}
-    want = {k: g for k, (n, g, _) in brute_vectors(v, list(range(len(v)))).items() if n}
-    assert got == want
+    small = op2_projections.C.staged(reps.mapInArrow(op2_projections._rounded, "rep long, size int, q binary"))
+    order = op2_projections.ordered(small, 0, 3)
+    got = {(x["a"], x["b"]) for x in op2_projections.window_pairs(order, small, window=40, similar=0.85).collect()}
+    rows = sorted(order.collect(), key=lambda x: (x["part"], x["at"]))
+    assert [x["pass"] for x in rows] == sorted(x["pass"] for x in rows) and len(rows) == 4500
+    near = {(min(x["rep"], y["rep"]), max(x["rep"], y["rep"])) for i, x in enumerate(rows) for y in rows[i + 1 : i + 41] if x["rep"] != y["rep"] and v[x["rep"]] @ v[y["rep"]] >= 0.85}
+    label = lambda pairs: dict(zip(*[x.tolist() for x in op2_projections.C.forest(*np.array(sorted(pairs)).T)][::-1], strict=True))
+    # a tree's edges lead to its root: they stay inside what true links join, and join all that the windows reach
+    true = label({(i, j) for i, j in np.argwhere(np.triu(v @ v.T >= 0.85, 1)).tolist()})
+    assert got and all(true.get(a, a) == true.get(b, b) for a, b in got)
+    reached = label(got)
+    assert all(reached.get(a, a) == reached.get(b, b) for a, b in near)
+
+
+def test_the_limit_is_exact(spark):
+    # 9 of 10: 81 + 16 + 3 = 100
+    ten, other = [10, 0, 0, 0, 0, 0], [9, 4, 1, 1, 1, 0]
+    below = [9, 4, 1, 1, 1, 1e-7]
+    rows = [(1, ten), (2, other), (3, [10.0 * 3, 0, 0, 0, 0, 0]), (4, [-x for x in ten]), (5, [-x for x in below])]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    out = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in op2_projections.near_vectors(df).collect()}
+    assert out == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
 
 
 def test_passes_follow_from_the_signs():
@@ -164,10 +181,8 @@ def test_passes_follow_from_the_signs():
         alike = (1 - np.arccos(0.9) / np.pi) ** bits
         need = op2_projections.passes_for(bits)
         assert (1 - alike) ** need <= op2_projections.MISSED < (1 - alike) ** (need - 1)
-    sample = np.random.default_rng(1).standard_normal((512, 64))
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    small, large = (op2_projections.plan(n, sample) for n in (100_000, 10_000_000))
-    assert 0 < small[0] < large[0] and small[1] < large[1]
+    small, large = op2_projections.bits_for(100_000), op2_projections.bits_for(10_000_000)
+    assert op2_projections.bits_for(500) == 0 < small < large
 
 
 def test_odd_vectors(spark):
