@@ -13,8 +13,8 @@ SHARDS, SEED = 24, 20_240_601
 BUCKET_BYTES, BUCKET_ROWS = 16 << 20, 1 << 16
 
 
-def scattered(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The rows of df with `_bucket`, written once: a seeded hash of the key, the text and the row's number.
+def scattered(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
+    """The rows of df with `_bucket`, written once, and the number of buckets: a seeded hash of the key, the text and the row's number.
 
     The number spreads rows that are alike over all buckets; it is written with the row, so a task run again finds the same.
     """
@@ -22,22 +22,24 @@ def scattered(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     n = max(1, -(-total // bucket_bytes), -(-count // bucket_rows))
-    return rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), key, text, "_row"), F.lit(n)))
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), key, text, "_row"), F.lit(n)).cast("int")), n
 
 
 def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of df in random order over `shards` shards: adds `shard` and `slot`, keeps every other column.
 
     Pass one scatters rows to buckets of bounded size by a seeded hash of the key, the text and the row's
-    place in the table; pass two puts each bucket into a fixed order and applies Spark's seeded Fisher-Yates `shuffle` to it.  The rows of all buckets, one bucket after
+    place in the table; pass two makes each bucket a partition of its own, puts it into a fixed order and applies Spark's seeded
+    Fisher-Yates `shuffle` to it, whose draws follow from the seed and the partition, hence the bucket.  The rows of all buckets, one bucket after
     another, are dealt to the shards in turn, so row counts differ by one at most and slots run from 0 without gaps.
     A null key or text is a value like any other; an empty table has no rows; rows that are alike are spread over the
-    buckets like others.  The order follows from the seed and the order of the rows as they are read.
+    buckets like others.  The result follows from the seed and the places of the rows as they are read (file and split),
+    not from the number of shuffle partitions or the order in which tasks run.
     Columns must be orderable (no maps).  Existing columns `shard` and `slot` are replaced.
     """
     df = df.drop("shard", "slot")
     names = df.columns
-    df = scattered(df, key, text, seed, bucket_bytes)
+    df, buckets = scattered(df, key, text, seed, bucket_bytes)
 
     counts = df.groupBy("_bucket").agg(F.count("*").alias("n")).withColumn("hi", F.expr("_bucket div 1024"))
     inner = Window.partitionBy("hi").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,9 +47,9 @@ def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", sha
     groups = counts.groupBy("hi").agg(F.sum("n").alias("t")).select("hi", F.coalesce(F.sum("t").over(outer), F.lit(0)).alias("base"))
     before = counts.withColumn("in", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(groups, "hi").select("_bucket", (F.col("base") + F.col("in")).alias("_before"))
 
-    # a fixed order first, so that a bucket computed again is shuffled the same way
+    # a fixed order first, and one bucket a partition: its draws are the generator's first ones, whenever it is computed
     rows = df.select("_bucket", F.struct(F.xxhash64(F.lit(seed + 1), key, "_row").alias("h"), "_row", F.struct(*names).alias("row")).alias("_r"))
-    dealt = rows.repartition("_bucket").groupBy("_bucket").agg(F.shuffle(F.sort_array(F.collect_list("_r")), seed).alias("_rows"))
+    dealt = rows.repartitionById(buckets, "_bucket").groupBy("_bucket").agg(F.shuffle(F.sort_array(F.collect_list("_r")), seed).alias("_rows"))
     placed = dealt.join(before, "_bucket").select("_before", F.posexplode("_rows").alias("_at", "_r"))
     at = F.col("_before") + F.col("_at")
     return placed.select("_r.row.*", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.expr(f"(_before + _at) div {shards}").alias("slot"))

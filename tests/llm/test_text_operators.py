@@ -224,10 +224,24 @@ def test_shuffle_deals_all_rows_evenly(make, spark):
     assert sorted(Counter(r["shard"] for r in same.collect()).values()) == [12, 12, 13, 13]
 
 
+def test_shuffle_does_not_depend_on_the_shuffle_partitions(make, spark):
+    docs = op8_shuffle.C.staged(make([(i, f"text {i}") for i in range(3000)]))
+    had, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("8", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append({(r["doc_id"], r["shard"], r["slot"]) for r in op8_shuffle.external_shuffle(docs, shards=7, bucket_bytes=4000).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert seen[0] == seen[1]
+    other = op8_shuffle.external_shuffle(docs, shards=7, bucket_bytes=4000, seed=4).collect()
+    assert len(seen[0] & {(r["doc_id"], r["shard"], r["slot"]) for r in other}) < 100
+
+
 def test_shuffle_spreads_rows_that_are_alike(make):
     docs = make([(1, "same")] * 2000 + [(None, None)] * 2000)
     for options in ({"bucket_bytes": 4000}, {"bucket_rows": 400}):
-        sizes = [r["count"] for r in op8_shuffle.scattered(docs, **options).groupBy("_bucket").count().collect()]
+        sizes = [r["count"] for r in op8_shuffle.scattered(docs, **options)[0].groupBy("_bucket").count().collect()]
         assert sum(sizes) == 4000 and len(sizes) >= 10 and max(sizes) < 600
     out = op8_shuffle.external_shuffle(docs, shards=3, bucket_bytes=4000).collect()
     assert Counter(r["doc_id"] for r in out) == {1: 2000, None: 2000}
