@@ -49,8 +49,12 @@ def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", sha
 
     # a fixed order first, and one bucket a partition: its draws are the generator's first ones, whenever it is computed
     rows = df.select("_bucket", F.struct(F.xxhash64(F.lit(seed + 1), key, "_row").alias("h"), "_row", F.struct(*names).alias("row")).alias("_r"))
-    dealt = rows.repartitionById(buckets, "_bucket").groupBy("_bucket").agg(F.shuffle(F.sort_array(F.collect_list("_r")), seed).alias("_rows"))
-    placed = dealt.join(before, "_bucket").select("_before", F.posexplode("_rows").alias("_at", "_r"))
+    # what stands before a bucket travels with its rows, which spares a join and its shuffle
+    rows = rows.withColumn("_before", F.lit(None).cast("long"))
+    rows = rows.union(before.select("_bucket", F.lit(None).cast(rows.schema["_r"].dataType), "_before"))
+    dealt = rows.repartitionById(buckets, "_bucket").groupBy("_bucket")
+    dealt = dealt.agg(F.shuffle(F.sort_array(F.collect_list("_r")), seed).alias("_rows"), F.max("_before").alias("_before"))
+    placed = dealt.select("_before", F.posexplode("_rows").alias("_at", "_r"))
     at = F.col("_before") + F.col("_at")
     return placed.select("_r.row.*", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.expr(f"(_before + _at) div {shards}").alias("slot"))
 
