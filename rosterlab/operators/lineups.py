@@ -6,7 +6,6 @@ Lineups are long tables: contest_id, lineup, slot, player_id, name, pos, team, o
 from __future__ import annotations
 
 from functools import reduce
-from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -306,152 +305,93 @@ def lineup_rule_audit(
 
 # --- pairwise overlap ------------------------------------------------------------------------------------------
 
-PAIRWISE_LIMIT = 2000  # contests above this size are counted by shared subsets instead of by pairs
-SUBSET_PLAYERS = 12  # largest lineup whose subsets are enumerated
-
 
 def _members(lineups: DataFrame) -> DataFrame:
     return lineups.select(*LINEUP_KEY, "player_id").distinct()
 
 
-def _routed(lineups: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(small, large) contests' members: small ones are compared by pairs, large ones by shared subsets.
+def _binomial(n: Column, j: Column) -> Column:
+    """C(n, j) as a whole number."""
+    factors = F.filter(F.sequence(F.lit(0), j), lambda i: i > 0)
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(factors, one, lambda acc, i: F.call_function("div", acc * (n - j + i), i.cast("bigint")))
 
-    The members are written once because every later step reads them; ``large`` is None when no contest is large.
-    """
-    members = _members(lineups)
-    widths = members.groupBy(*LINEUP_KEY).agg(F.count("*").alias("width"))
-    sizes = widths.groupBy("contest_id").agg(F.count("*").alias("n"), F.max("width").alias("widest"))
-    by_subset = (F.col("n") > PAIRWISE_LIMIT) & (F.col("widest") <= SUBSET_PLAYERS)
-    marked = cut_lineage(members.join(sizes.select("contest_id", by_subset.alias("_large")), "contest_id"))
-    large = marked.filter("_large").drop("_large")
-    return marked.filter(~F.col("_large")).drop("_large"), None if large.isEmpty() else large
-
-
-def _player_sets(members: DataFrame) -> DataFrame:
-    """Players of each lineup as an array; only used where no lineup is wider than SUBSET_PLAYERS."""
-    return members.groupBy(*LINEUP_KEY).agg(F.array_sort(F.collect_set("player_id")).alias("players"))
-
-
-def _pair_overlaps(members: DataFrame) -> DataFrame:
-    """Pairs that share a player, by the players they share; pairs without one never appear."""
-    other = members.select("contest_id", "player_id", F.col("lineup").alias("lineup_b"))
-    return (
-        members.join(other, ["contest_id", "player_id"])
-        .filter(F.col("lineup") < F.col("lineup_b"))
-        .groupBy("contest_id", F.col("lineup").alias("lineup_a"), "lineup_b")
-        .agg(F.count("*").alias("shared"))
-    )
 
+def _shared_nodes(members: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Levels of a prefix tree over the lineups' sorted players: (places, nodes) of subsets that two or more lineups hold.
 
-def _subsets(sets: DataFrame, *carried: str) -> DataFrame:
-    """Every non-empty subset of each lineup's players."""
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("players")) - 1)
-    exploded = sets.select("contest_id", *carried, "players", F.explode(masks).alias("_mask"))
-    members = F.filter("players", lambda _, i: F.getbit(F.col("_mask"), i) == 1)
-    return exploded.select("contest_id", *carried, members.alias("subset"))
+    places: contest_id, lineup, node (the subset), tail (the lineup's larger players); nodes: contest_id, node, n, rest.  A
+    node is not grown further where its subtree is known: two lineups share the subsets of their common tail, and lineups
+    with one and the same tail share all of its subsets.  `rest` is the size of that tail, null where the node is grown.
+    """
+    sets = members.groupBy(*LINEUP_KEY).agg(F.array_sort(F.collect_set("player_id")).alias("tail"))
+    grown = sets.select(*LINEUP_KEY, F.array().cast(sets.schema["tail"].dataType).alias("node"), "tail")
+    levels = []
+    while True:
+        item = grown.select(*LINEUP_KEY, "node", "tail", F.posexplode("tail").alias("_at", "_player"))
+        places = item.select(
+            *LINEUP_KEY,
+            F.concat("node", F.array("_player")).alias("node"),
+            F.slice("tail", F.col("_at") + 2, F.size("tail")).alias("tail"),
+        )
+        held = places.groupBy("contest_id", "node").agg(F.count("*").alias("n"), F.min("tail").alias("_low"), F.max("tail").alias("_high"))
+        known = (F.col("n") == 2) | (F.col("_low") == F.col("_high"))
+        rest = F.when(known, F.size(F.array_intersect("_low", "_high")))
+        nodes = cut_lineage(held.filter("n > 1").select("contest_id", "node", "n", rest.alias("rest")))
+        levels.append((places, nodes))
+        unknown = nodes.filter("rest IS NULL").select("contest_id", "node")
+        if unknown.isEmpty():
+            return levels
+        grown = cut_lineage(places.join(unknown, ["contest_id", "node"]).select(*LINEUP_KEY, "node", "tail"))
 
 
-def _from_moments(moments: list[Column], size: int) -> list[Column]:
-    """Pairs with exactly j shared players from the number of (pair, shared t-subset) combinations, t = 0..size."""
-    exact = []
-    for j in range(size + 1):
-        terms = [moments[t] * ((-1) ** (t - j) * comb(t, j)) for t in range(j, size + 1)]
-        exact.append(reduce(lambda a, b: a + b, terms))
-    return exact
+def _subset_sizes(held: DataFrame, weight: Column, *keys: str) -> DataFrame:
+    """(keys, t, b): the weight of a node for itself (t players) and for every subset of its known subtree."""
+    rest = F.coalesce("rest", F.lit(0)).cast("bigint")
+    alike = held.groupBy(*keys, F.size("node").alias("_depth"), rest.alias("_rest")).agg(F.sum(weight).alias("_w"))
+    rows = alike.select("*", F.explode(F.sequence(F.lit(0), F.col("_rest").cast("int"))).alias("_j"))
+    return rows.select(*keys, (F.col("_depth") + F.col("_j")).alias("t"), (F.col("_w") * _binomial(F.col("_rest"), F.col("_j"))).alias("b"))
 
 
-def _exact_overlaps(large: DataFrame) -> DataFrame:
-    """Per lineup the number of partners n0..n12 that share exactly that many players, without forming pairs.
+def _exact_counts(moments: DataFrame, *keys: str) -> DataFrame:
+    """(keys, shared, n): how many pairs share exactly that many players, from b pairs weighted by C(shared, t).
 
-    A lineup's t-player subsets, each counted over the other lineups that hold it, sum to the partners weighted by
-    C(shared, t); inclusion-exclusion turns these moments into exact counts.
+    Inclusion-exclusion: the sum over t >= shared of (-1)^(t - shared) C(t, shared) b.
     """
-    sets = _player_sets(large)
-    shared = _subsets(sets).groupBy("contest_id", "subset").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    held = _subsets(sets, "lineup").join(shared, ["contest_id", "subset"])
-    sums = held.groupBy(*LINEUP_KEY).agg(
-        *[
-            F.coalesce(F.sum(F.when(F.size("subset") == t, F.col("n") - 1)), F.lit(0)).cast("bigint").alias(f"b{t}")
-            for t in range(1, SUBSET_PLAYERS + 1)
-        ]
-    )
-    sizes = sets.groupBy("contest_id").agg((F.count("*") - 1).alias("b0"))
-    moments = sets.select(*LINEUP_KEY).join(sums, LINEUP_KEY, "left").fillna(0).join(sizes, "contest_id")
-    exact = _from_moments([F.col(f"b{t}") for t in range(SUBSET_PLAYERS + 1)], SUBSET_PLAYERS)
-    return cut_lineage(moments.select(*LINEUP_KEY, *[e.alias(f"n{j}") for j, e in enumerate(exact)]))
-
-
-def _histogram_of(partners: DataFrame) -> DataFrame:
-    """(contest_id, shared, pairs) from per-lineup partner counts; every pair is counted from both sides."""
-    columns = [f"n{j}" for j in range(SUBSET_PLAYERS + 1)]
-    totals = partners.groupBy("contest_id").agg(*[F.sum(c).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(j).cast("bigint").alias("shared"), (F.col(c) / 2).cast("bigint").alias("pairs")) for j, c in enumerate(columns)])
-    return totals.select("contest_id", F.inline(rows)).filter(F.col("pairs") > 0)
+    totals = moments.groupBy(*keys, "t").agg(F.sum("b").alias("b"))
+    parts = totals.select(*keys, "t", "b", F.explode(F.sequence(F.lit(0), "t")).alias("shared"))
+    sign = F.when((F.col("t") - F.col("shared")) % 2 == 0, 1).otherwise(-1)
+    term = sign * _binomial(F.col("t").cast("bigint"), F.col("shared")) * F.col("b")
+    terms = parts.select(*keys, F.col("shared").cast("bigint").alias("shared"), term.alias("_term"))
+    return terms.groupBy(*keys, "shared").agg(F.sum("_term").alias("n")).filter("n > 0")
 
 
 def lineup_overlap(lineups: DataFrame) -> DataFrame:
     """Per contest, how many lineup pairs share exactly ``shared`` players; uniques = 18 - 2 x shared.
 
-    Small contests count the pairs that share a player and obtain the zero-overlap pairs as the rest of C(n,2).  Large
-    contests never form pairs, see ``_exact_overlaps``.
+    No pairs are formed: a subset of players that n lineups hold stands for C(n, 2) pairs, and inclusion-exclusion over the
+    subsets' sizes gives the exact counts, whatever the size of a contest or a lineup.  Counts are 64-bit: two different
+    lineups with more than about 50 players in common raise an overflow instead of a wrong count.
     """
-    small, large = _routed(lineups)
-    sharing = _pair_overlaps(small).groupBy("contest_id", "shared").agg(F.count("*").alias("pairs"))
-    entered = small.select(*LINEUP_KEY).distinct().groupBy("contest_id").agg(
-        F.lit(0).cast("bigint").alias("shared"), (F.count("*") * (F.count("*") - 1) / 2).cast("bigint").alias("pairs")
-    )
-    # All pairs minus the sharing ones: the sharing rows count negatively toward zero overlap.
-    zero = entered.unionByName(sharing.select("contest_id", F.lit(0).cast("bigint").alias("shared"), (-F.col("pairs")).alias("pairs")))
-    histogram = sharing.unionByName(zero.groupBy("contest_id", "shared").agg(F.sum("pairs").alias("pairs")).filter(F.col("pairs") > 0))
-    if large is not None:
-        histogram = histogram.unionByName(_histogram_of(_exact_overlaps(large)))
+    members = cut_lineage(_members(lineups))
+    entered = members.select(*LINEUP_KEY).distinct().groupBy("contest_id").agg(F.count("*").alias("n"))
+    pairs = F.expr("n * (n - 1) div 2")
+    moments = entered.select("contest_id", F.lit(0).alias("t"), pairs.alias("b"))
+    for _, nodes in _shared_nodes(members):
+        moments = moments.unionByName(_subset_sizes(nodes, pairs, "contest_id"))
+    histogram = _exact_counts(moments, "contest_id").withColumnRenamed("n", "pairs")
     return histogram.withColumn("uniques", 2 * C.ROSTER_SIZE - 2 * F.col("shared"))
 
 
-def _small_summary(small: DataFrame) -> DataFrame:
-    """(contest_id, min_shared, max_shared, pair) of contests compared by pairs.
-
-    The first pair with the least positive overlap comes from the sharing pairs.  A lineup with fewer sharing partners
-    than other lineups has a zero-overlap partner; the first such lineup starts the first zero-overlap pair.
-    """
-    pairs = _pair_overlaps(small)
-    sharing = pairs.groupBy("contest_id").agg(
-        F.max("shared").alias("max_shared"), F.min(F.struct("shared", "lineup_a", "lineup_b")).alias("least")
-    )
-    both = pairs.select("contest_id", F.explode(F.array("lineup_a", "lineup_b")).alias("lineup"))
-    partners = both.groupBy(*LINEUP_KEY).agg(F.count("*").alias("partners"))
-    entered = small.select(*LINEUP_KEY).distinct()
-    sizes = entered.groupBy("contest_id").agg(F.count("*").alias("n"))
-    first = (
-        entered.join(partners, LINEUP_KEY, "left").join(sizes, "contest_id")
-        .filter(F.coalesce("partners", F.lit(0)) < F.col("n") - 1)
-        .groupBy("contest_id").agg(F.min("lineup").alias("first"), F.lit(0).cast("bigint").alias("wanted"))
-    )
-    zero = _partner_of_first(small, first)
-    joined = sizes.filter(F.col("n") > 1).join(sharing, "contest_id", "left").join(zero, "contest_id", "left")
-    least_pair = F.struct(F.col("least.lineup_a").alias("lineup_a"), F.col("least.lineup_b").alias("lineup_b"))
-    return joined.select(
-        "contest_id",
-        F.when(F.col("pair").isNotNull(), F.lit(0).cast("bigint")).otherwise(F.col("least.shared")).alias("min_shared"),
-        F.coalesce("max_shared", F.lit(0).cast("bigint")).alias("max_shared"),
-        F.coalesce("pair", least_pair).alias("pair"),
-    )
-
-
-def _large_summary(large: DataFrame) -> DataFrame:
-    """The same for contests counted by subsets: the first lineup with a partner at the least overlap, then the partner."""
-    partners = _exact_overlaps(large)
-    extremes = _histogram_of(partners).groupBy("contest_id").agg(
-        F.min("shared").alias("min_shared"), F.max("shared").alias("max_shared")
-    )
-    counts = F.array(*[F.col(f"n{j}") for j in range(SUBSET_PLAYERS + 1)])
-    first = (
-        partners.join(extremes, "contest_id")
-        .filter(F.element_at(counts, (F.col("min_shared") + 1).cast("int")) > 0)
-        .groupBy("contest_id").agg(F.min("lineup").alias("first"), F.min("min_shared").alias("wanted"))
-    )
-    return extremes.join(_partner_of_first(large, first), "contest_id")
+def _partners(members: DataFrame) -> DataFrame:
+    """(contest_id, lineup, shared, n): how many other lineups of the contest share exactly that many players with a lineup."""
+    entered = members.select(*LINEUP_KEY).distinct()
+    sizes = entered.groupBy("contest_id").agg((F.count("*") - 1).alias("b"))
+    moments = entered.join(sizes, "contest_id").select(*LINEUP_KEY, F.lit(0).alias("t"), "b")
+    for places, nodes in _shared_nodes(members):
+        held = places.select(*LINEUP_KEY, "node", "tail").join(nodes, ["contest_id", "node"])
+        moments = moments.unionByName(_subset_sizes(held, F.col("n") - 1, *LINEUP_KEY))
+    return _exact_counts(moments, *LINEUP_KEY)
 
 
 def _partner_of_first(members: DataFrame, first: DataFrame) -> DataFrame:
@@ -468,16 +408,19 @@ def _partner_of_first(members: DataFrame, first: DataFrame) -> DataFrame:
 def overlap_summary(lineups: DataFrame) -> DataFrame:
     """Per contest the least overlap, the least uniques and the first pair with the least overlap.
 
-    A contest with one lineup gives 0, 9 and no pair.
+    The first lineup with a partner at the least overlap starts that pair.  A contest with one lineup gives 0, 9 and no pair.
     """
-    small, large = _routed(lineups)
-    summary = _small_summary(small)
-    if large is not None:
-        summary = summary.unionByName(_large_summary(large))
+    members = cut_lineage(_members(lineups))
+    partners = cut_lineage(_partners(members))
+    extremes = partners.groupBy("contest_id").agg(
+        F.min(F.struct("shared", "lineup")).alias("least"), F.max("shared").alias("max_shared")
+    )
+    first = extremes.select("contest_id", F.col("least.lineup").alias("first"), F.col("least.shared").alias("wanted"))
+    summary = extremes.join(_partner_of_first(members, first), "contest_id", "left")
     joined = lineups.select("contest_id").distinct().join(summary, "contest_id", "left")
     return joined.select(
         "contest_id",
-        F.coalesce("min_shared", F.lit(0)).cast("bigint").alias("min_pair_overlap"),
+        F.coalesce("least.shared", F.lit(0)).cast("bigint").alias("min_pair_overlap"),
         F.coalesce(2 * C.ROSTER_SIZE - 2 * F.col("max_shared"), F.lit(C.ROSTER_SIZE)).cast("bigint").alias("min_pair_uniques"),
         F.col("pair.lineup_a").alias("worst_a"),
         F.col("pair.lineup_b").alias("worst_b"),

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,10 +80,7 @@ def random_contests(seed, contests, most):
     return groups, sets
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_overlap_equals_brute_force_by_both_methods(spark, monkeypatch, limit):
-    """limit 0 counts every contest by subsets, the other one by pairs."""
-    monkeypatch.setattr(L, "PAIRWISE_LIMIT", limit)
+def test_overlap_equals_brute_force(spark):
     groups, sets = random_contests(5, 6, 12)
     rows = table(spark, *groups)
     want, summary = {}, {}
@@ -97,14 +95,31 @@ def test_overlap_equals_brute_force_by_both_methods(spark, monkeypatch, limit):
     assert got == summary
 
 
-def test_wide_lineups_fall_back_to_pairs(spark, monkeypatch):
-    monkeypatch.setattr(L, "PAIRWISE_LIMIT", 0)
-
+def test_overlap_of_wide_and_equal_lineups(spark):
     def widen(rows):
         rows.extend([[*rows[0][:3], 100 + i, f"x{i}", *rows[0][5:]] for i in range(6)])
 
-    rows = table(spark, lineup(1, change=widen), lineup(2))
-    assert [(r.shared, r.pairs) for r in L.lineup_overlap(rows).collect()] == [(9, 1)]
+    rows = table(spark, lineup(1, change=widen), lineup(2), lineup(3, change=widen))
+    assert {r.shared: r.pairs for r in L.lineup_overlap(rows).collect()} == {9: 2, 15: 1}
+    got = L.overlap_summary(rows).first()
+    assert (got.min_pair_overlap, got.min_pair_uniques, got.worst_a, got.worst_b) == (9, -12, 1, 2)
+
+
+def test_overlap_of_a_large_contest_with_a_wide_lineup(spark):
+    """3,000 lineups of nine from 60 players, one of them with fifteen, some repeated."""
+    rng = np.random.default_rng(11)
+    sets = np.argsort(rng.random((3000, 60)), axis=1)[:, :9]
+    sets[1000:1200] = sets[7]
+    rows = [(1, i, int(p)) for i, s in enumerate(sets) for p in s] + [(1, 0, int(p)) for p in [x for x in range(60) if x not in sets[0]][:6]]
+    held = np.zeros((3000, 60), int)
+    for _, i, p in rows:
+        held[i, p] = 1
+    shared = (held @ held.T)[np.triu_indices(3000, 1)]
+    df = spark.createDataFrame(rows, "contest_id long, lineup long, player_id long")
+    assert {r.shared: r.pairs for r in L.lineup_overlap(df).collect()} == dict(zip(*[x.tolist() for x in np.unique(shared, return_counts=True)], strict=True))
+    a, b = (x[int(np.argmin(shared))] for x in np.triu_indices(3000, 1))
+    got = L.overlap_summary(df).first()
+    assert (got.min_pair_overlap, got.min_pair_uniques, got.worst_a, got.worst_b) == (shared.min(), 18 - 2 * shared.max(), a, b)
 
 
 def test_stacks_and_missing_qb(spark):
