@@ -80,14 +80,20 @@ def export_identity(spark, d):
     return _as_text("players", players).union(_as_text("external_ids", ids)).union(_as_text("aliases", aliases))
 
 
-@register(
-    "import_identity",
-    """SELECT p.canonical_name, p.position, p.team, e.source_name, e.external_id, e.confidence_score
-       FROM v_players p JOIN v_external_ids e ON e.player_id = p.id""",
-)
+_SQL_OWNED = " UNION ALL ".join([
+    _sql_text("players", _PLAYER, "v_players"),
+    _sql_text("external_ids", ("canonical_name", *(f"e.{c}" for c in _EXTERNAL)), "v_players p JOIN v_external_ids e ON e.player_id = p.id"),
+    _sql_text("aliases", ("canonical_name", *(f"a.{c}" for c in _ALIAS)), "v_players p JOIN v_aliases a ON a.player_id = p.id"),
+])
+
+
+@register("import_identity", _SQL_OWNED)
 def import_identity(spark, d):
+    """All three tables exported and loaded again; ids and aliases under their player's name, as loading may number anew."""
     path = scratch_path(spark, "identity")
     I.export_identity(_tables(spark, d), path)
     loaded = I.import_identity(spark, path)
-    ids = loaded.external_ids.withColumnRenamed("player_id", "id")
-    return loaded.players.join(ids, "id").select("canonical_name", "position", "team", "source_name", "external_id", "confidence_score")
+    owner = loaded.players.select(F.col("id").alias("player_id"), "canonical_name")
+    ids = loaded.external_ids.join(owner, "player_id").select("canonical_name", *_EXTERNAL)
+    aliases = loaded.aliases.join(owner, "player_id").select("canonical_name", *_ALIAS)
+    return _as_text("players", loaded.players.select(*_PLAYER)).union(_as_text("external_ids", ids)).union(_as_text("aliases", aliases))

@@ -13,12 +13,17 @@ from rosterlab.fixtures import view
 from rosterlab.functions import names as N
 from rosterlab.functions import values as V
 from rosterlab.operators import features, normalise
+from rosterlab.session import scratch_path
 from rosterlab.sources import salaries as S
 
 
 @register("scan_salaries", "SELECT slate_id, id, name_text AS name, salary_text AS salary FROM v_raw_salary")
 def scan_salaries(spark, d):
-    return raw_salaries(spark, d).select("slate_id", "id", F.col("Name").alias("name"), F.col("Salary").alias("salary"))
+    """The whole feed as CSV, scanned as text."""
+    path = scratch_path(spark, "salaries")
+    raw_salaries(spark, d).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    feed = S.scan_salaries(spark, path)
+    return feed.select(F.col("slate_id").cast("bigint").alias("slate_id"), F.col("id").cast("bigint").alias("id"), F.col("Name").alias("name"), F.col("Salary").alias("salary"))
 
 
 @register(
