@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlab.catalog.registry import register
+from rosterlab.catalog import lineups as _lineups  # noqa: F401  (its SQL checks the reports)
+from rosterlab.catalog.registry import ORACLES, register
 from rosterlab.fixtures import view
 from rosterlab.operators import lineups as L
 from rosterlab.operators.identity import IdentityTables
@@ -35,34 +39,46 @@ def scan_lineup_files(spark, d):
     return files.select("lineup", *S.LINEUP_FILE_COLUMNS)
 
 
-@register(
-    "write_reports",
-    """SELECT contest_id, count(*) AS rows_read FROM (SELECT DISTINCT contest_id, name, pos, team FROM v_lineups) GROUP BY 1""",
-)
+def _as_text(name: str, frame):
+    """Rows of one table as (table, values)."""
+    return frame.select(F.lit(name).alias("tab"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in frame.columns]).alias("row"))
+
+
+def _sql_text(name: str, columns: tuple[str, ...], source: str) -> str:
+    return f"SELECT '{name}' AS tab, concat_ws('|', {', '.join(f'coalesce(CAST({c} AS VARCHAR), chr(126))' for c in columns)}) AS row FROM {source}"
+
+
+_REPORTS = {
+    "player_exposure": ("contest_id", "name", "pos", "team", "appearances"),
+    "team_exposure": ("contest_id", "team", "total_exposure"),
+    "stacks": ("contest_id", "lineup", "stack_no", "qb", "qb_team", "receivers", "stack_size"),
+    "validation_report": ("contest_id", "lineup", "n_errors", "errors"),
+}
+_REPORT_SOURCES = {
+    "player_exposure": "player_exposure", "team_exposure": "team_exposure", "stacks": "stack_sequence", "validation_report": "validate_lineups",
+}
+
+
+@register("write_reports", " UNION ALL ".join(_sql_text(n, _REPORTS[n], f"({ORACLES[q]})") for n, q in _REPORT_SOURCES.items()))
 def write_reports(spark, d):
+    """All four reports written and read back, every row of each; the verdicts are those of the lineups with faults."""
     rows = view(spark, d, "v_lineups")
     reports = {
         "player_exposure": L.player_exposure(rows), "team_exposure": L.team_exposure(rows), "stacks": L.stack_sequence(rows),
-        "validation_report": L.validate_lineups(rows),
+        "validation_report": L.validate_lineups(L.drop_total_rows(view(spark, d, "v_broken_lineups"))),
     }
     written = S.write_reports(reports, scratch_path(spark, "reports"))
-    read = S.scan_lineup_table(spark, written["player_exposure"])
-    return read.groupBy(F.col("contest_id").cast("bigint").alias("contest_id")).agg(F.count("*").alias("rows_read"))
+    read = {n: S.scan_lineup_table(spark, path) for n, path in written.items() if n != "validation_report"}
+    # the verdicts hold a list and are JSON lines
+    verdicts = spark.read.schema("contest_id bigint, lineup bigint, errors array<string>, n_errors bigint").json(written["validation_report"])
+    read["validation_report"] = verdicts.withColumn("errors", F.array_join("errors", "; "))
+    return reduce(DataFrame.union, [_as_text(n, read[n].select(*_REPORTS[n])) for n in _REPORTS])
 
 
 def _tables(spark, d):
     return IdentityTables(view(spark, d, "v_players"), view(spark, d, "v_external_ids"), view(spark, d, "v_aliases"))
 
 
-def _as_text(name: str, frame):
-    """Rows of one table as (table, values)."""
-    return frame.select(F.lit(name).alias("tab"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in frame.columns]).alias("row"))
-
-
-def _sql_text(name: str, columns: tuple[str, ...], source: str) -> str:
-    return f"SELECT '{name}' AS tab, concat_ws('|', {', '.join(f'coalesce(CAST({c} AS VARCHAR), chr(126))' for c in columns)}) AS row FROM {source}"
-
-
 _PLAYER = ("canonical_name", "first_name", "last_name", "position", "team", "nfl_id")
 _EXTERNAL, _ALIAS = ("source_name", "external_id", "external_name", "confidence_score"), ("alias_name", "source_name", "confidence_score")
 _SQL_TABLES = " UNION ALL ".join([
