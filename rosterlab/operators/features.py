@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterlab import constants as C
 from rosterlab.operators.keyed import top_per_key
+from rosterlab.session import cut_lineage
 
 ROLLING_COLUMNS = {
     "fp_avg_3": "fantasy_points_ppr",
@@ -28,6 +29,27 @@ ROLLING_SUMS = {
 NULL_FEATURES = ("aDOT_avg", "redzone_tgt_rate")
 
 
+#: Rows of one player and week that one window takes; more are cut into ranges of about this many rows.
+CUT_ROWS = 1 << 22
+
+
+def cut_crowded_chunks(rows: DataFrame, key: str, chunk: Sequence[str], order: Sequence[str], width: int) -> DataFrame:
+    """The rows with ``_cut``, which splits a chunk of more than ``width`` rows into ranges of about equal row counts.
+
+    The rows of crowded chunks are dealt by range over key, chunk and order, with the borders drawn from a sample, and
+    written once, so that a cut is the same for all who read it.  Rows with equal order stay together.
+    """
+    sizes = rows.groupBy(key, *chunk).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > width)
+    crowded = cut_lineage(sizes)
+    held = crowded.select(F.sum("_rows")).first()[0]
+    if held is None:
+        return rows.withColumn("_cut", F.lit(0))
+    ranged = rows.join(crowded.drop("_rows"), [key, *chunk], "left_semi").repartitionByRange(-(-held // width), key, *chunk, *order)
+    cut = cut_lineage(ranged.withColumn("_cut", F.spark_partition_id()))
+    rest = rows.join(crowded.drop("_rows"), [key, *chunk], "left_anti").withColumn("_cut", F.lit(0))
+    return rest.unionByName(cut)
+
+
 def lagged_means(
     df: DataFrame,
     means: dict[str, Column],
@@ -35,15 +57,19 @@ def lagged_means(
     chunk: Sequence[str] = ("season", "week"),
     order: Sequence[str] = ("seq",),
     lag: int = 3,
+    cut_rows: int = CUT_ROWS,
 ) -> DataFrame:
     """Mean of each column over the key's previous ``lag`` rows, the current row excluded, nulls skipped.
 
     A key's history is cut into chunks (season and week by default).  Each chunk borrows the last ``lag`` rows before
     it, found from the chunks' own tails, and is then an ordinary window.  The result equals one window over the whole
-    key, but a key with a third of all rows is spread over its chunks.
+    key, but a key with a third of all rows is spread over its chunks, and a chunk of more than ``cut_rows`` rows over
+    ranges of about that many rows, whatever the weeks' sizes.
     """
     inputs = {name: f"_in_{i}" for i, name in enumerate(means)}
     rows = df.select("*", *[c.alias(inputs[n]) for n, c in means.items()])
+    rows = cut_crowded_chunks(rows, key, chunk, order, cut_rows)
+    chunk = [*chunk, "_cut"]
     carried = [*order, *inputs.values()]
     tails = top_per_key(rows.select(key, *chunk, *carried), [key, *chunk], [F.col(c).desc() for c in order], lag, "_from_end")
 

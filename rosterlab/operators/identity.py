@@ -155,34 +155,61 @@ def name_map_join(rows: DataFrame, name_map: DataFrame | None = None) -> DataFra
     )
 
 
-def _substrings(names: DataFrame, text: str, longest: Column, piece: str) -> DataFrame:
-    """One row per distinct substring of ``text`` up to a length; the other columns are kept."""
-    others = [c for c in names.columns if c != text]
-    filled = names.filter(F.length(text) > 0).select(*others, text, longest.alias("_longest"))
-    starts = filled.select("*", F.explode(F.sequence(F.lit(1), F.length(text))).alias("_start"))
-    longest_here = F.least(F.length(text) - F.col("_start") + 1, F.col("_longest"))
-    lengths = starts.filter(F.col("_longest") > 0).select(
-        "*", F.explode(F.sequence(F.lit(1), longest_here)).alias("_length")
-    )
-    return lengths.select(*others, F.substr(F.col(text), F.col("_start"), F.col("_length")).alias(piece)).distinct()
+#: Length of the pieces by which names are looked up; shorter texts are their own piece.
+PIECE = 3
+
+
+def _pieces(text: str, size: int) -> Column:
+    """The distinct pieces of one length; the piece of length 0 is the empty text."""
+    if size == 0:
+        return F.array(F.lit(""))
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    cut = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(size))))
+    return F.when(F.length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
+
+
+def _by_piece(texts: DataFrame, text: str, sizes: Sequence[int]) -> DataFrame:
+    """One row per text and distinct piece of the given lengths: at most as many as the text has characters per length."""
+    return texts.filter(F.col(text).isNotNull()).select("*", F.explode(F.concat(*[_pieces(text, n) for n in sizes])).alias("_piece"))
+
+
+def _containing(texts: DataFrame, text: str, wanted: DataFrame, needle: str) -> DataFrame:
+    """Rows of ``texts`` next to every row of ``wanted`` whose text they contain; both sides' other columns are kept.
+
+    A needle waits under the rarest of its pieces, so a frequent one gathers only what consists of frequent pieces.
+    Texts arrive by their own pieces, linear in their length, and what meets is verified.  A needle with a piece that no
+    text has is inside none.  Null texts and needles meet nothing; the empty needle is inside every text.
+    """
+    needles = wanted.filter(F.col(needle).isNotNull())
+    own_size = F.least(F.length(needle), F.lit(PIECE))
+    sizes = sorted(needles.select(F.collect_set(own_size)).first()[0]) or [0]
+    arriving = _by_piece(texts, text, sizes)
+    own = F.lit(None).cast("array<string>")
+    for n in sizes:
+        own = F.when(own_size == n, _pieces(needle, n)).otherwise(own)
+    waiting = needles.select(needle).distinct().select(needle, F.explode(own).alias("_piece"))
+    spread = arriving.groupBy("_piece").agg(F.count("*").alias("_texts"))
+    rarest = (
+        waiting.join(spread, "_piece", "left")
+        .groupBy(needle)
+        .agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("_texts"), "_piece")).alias("_least"))
+        .filter(F.col("_least._texts") > 0)
+        .select(needle, "_least._piece")
+    )
+    met = arriving.join(rarest, "_piece").filter(F.contains(F.col(text), F.col(needle))).drop("_piece")
+    return met.join(needles, needle)
 
 
 def search_players(players: DataFrame, aliases: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
     """Case-insensitive contains-search over canonical, first, last and alias names; top n players per query.
 
-    A query is inside a name exactly when it equals one of the name's substrings, so the search is an equi-join.  The
-    empty query is inside every name.
+    Names are found by pieces of three characters and verified, see ``_containing``; the empty query is inside every name.
     """
-    longest = queries.select(F.max(F.length("query")).cast("int")).scalar()
     wanted = queries.select("query", F.lower("query").alias("_lower"))
-    asks_all = not queries.filter("query = ''").isEmpty()
 
     def hits(names: DataFrame, *carried: str) -> DataFrame:
         lower = names.select(*carried, F.lower("_name").alias("_name"))
-        pieces = _substrings(lower, "_name", longest, "_lower")
-        if asks_all:
-            pieces = pieces.unionByName(lower.filter(F.col("_name").isNotNull()).select(*carried, F.lit("").alias("_lower")).distinct())
-        return pieces.join(wanted, "_lower").select("query", *carried).distinct()
+        return _containing(lower, "_name", wanted, "_lower").select("query", *carried).distinct()
 
     own = players.select("id", F.explode(F.array("canonical_name", "first_name", "last_name")).alias("_name"))
     scored = aliases.select(
@@ -310,17 +337,24 @@ def ambiguous_matches(claims: DataFrame) -> DataFrame:
 
 
 def partial_name_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """For each distinct name of the left the first (alphabetical) right name that contains it or is contained in it."""
+    """For each distinct name of the left the first (alphabetical) right name that contains it or is contained in it.
+
+    Null names meet nothing.  An empty name is contained in every name.
+    """
     a = left.select(F.trim("name").alias("name_a")).distinct().withColumn("_a", F.lower("name_a"))
     b = right.select(F.trim("name").alias("name_b")).distinct().withColumn("_b", F.lower("name_b"))
-    longest_a = a.select(F.max(F.length("_a")).cast("int")).scalar()
-    longest_b = b.select(F.max(F.length("_b")).cast("int")).scalar()
     # Reduced to the first name per text before joining, so copies do not multiply.
     b_texts = b.groupBy("_b").agg(F.min("name_b").alias("name_b"))
-    inside_a = _substrings(a, "_a", longest_b, "_b").join(b_texts, "_b")
-    b_pieces = _substrings(b, "_b", longest_a, "_a").groupBy("_a").agg(F.min("name_b").alias("name_b"))
-    inside_b = a.join(b_pieces, "_a")
-    hits = inside_a.select("name_a", "name_b").unionByName(inside_b.select("name_a", "name_b"))
+    inside_a = _containing(a, "_a", b_texts, "_b")
+    # A short left name is a piece itself: the first right name per piece is settled before the join.
+    short = F.length("_a") <= PIECE
+    sizes = sorted(a.filter(short).select(F.collect_set(F.length("_a"))).first()[0]) or [0]
+    holders = _by_piece(b_texts, "_b", sizes).groupBy(F.col("_piece").alias("_a")).agg(F.min("name_b").alias("name_b"))
+    inside_b = a.filter(short).join(holders, "_a")
+    inside_long_b = _containing(b_texts, "_b", a.filter(~short), "_a")
+    hits = inside_a.select("name_a", "name_b")
+    for more in (inside_b, inside_long_b):
+        hits = hits.unionByName(more.select("name_a", "name_b"))
     return hits.groupBy("name_a").agg(F.min("name_b").alias("name_b"))
 
 

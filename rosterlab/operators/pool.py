@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rosterlab import constants as C
@@ -131,23 +132,68 @@ def position_availability(pool: DataFrame) -> DataFrame:
     return counts.select("slate_id", F.inline(F.array(*rows))).withColumn("sufficient", F.col("available") >= F.col("required"))
 
 
-def salary_stats(pool: DataFrame) -> DataFrame:
-    """Count, mean, sample deviation, exact quartiles and range of the numeric salaries, and the invalid count.
+def exact_quantiles(rows: DataFrame, key: str, value: str, quantiles: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Linearly interpolated quantiles of a number column per key, one column each; keys without a number have no row.
 
-    The exact percentile keeps one counter per distinct salary, and salaries are whole hundreds, so it stays small.
+    Two passes.  The first finds, with mergeable summaries whose rank error is at most 1/accuracy of the rows, two
+    values around each quantile (the whole range for keys of at most ``accuracy`` rows).  The second counts the rows
+    below exactly and sorts the distinct values between, about 8/accuracy of the rows.  No task holds one counter per
+    distinct value of a key.
     """
+    slack = 4 / accuracy
+    around = [F.lit(float(f)) for q in quantiles.values() for f in (max(0.0, q - slack), min(1.0, q + slack))]
+    present = rows.filter(F.col(value).isNotNull()).select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    bounds = present.groupBy("_key").agg(
+        F.count("*").alias("_n"), F.min("_value").alias("_least"), F.max("_value").alias("_most"),
+        F.percentile_approx("_value", F.array(*around), accuracy).alias("_around"),
+    )
+    places = []
+    for i, (name, q) in enumerate(quantiles.items()):
+        few = F.col("_n") <= accuracy
+        places.append(F.struct(
+            F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("place"),
+            F.when(few, F.col("_least")).otherwise(F.col("_around")[2 * i]).alias("low"),
+            F.when(few, F.col("_most")).otherwise(F.col("_around")[2 * i + 1]).alias("high"),
+        ))
+    wanted = bounds.select(F.col("_key").alias("_for"), F.array(*places).alias("_places"))
+    counted = present.groupBy("_key", "_value").agg(F.count("*").alias("_rows"))
+    seen = counted.join(wanted, F.col("_key").eqNullSafe(F.col("_for"))).select("_key", "_value", "_rows", F.explode("_places").alias("_at"))
+    # Everything below the window is one row of its own per quantile; it sorts before the window's values.
+    below = F.col("_value") < F.col("_at.low")
+    kept = (
+        seen.filter(F.col("_value") <= F.col("_at.high"))
+        .groupBy("_key", "_at.name", "_at.place", F.when(~below, F.col("_value")).alias("_in"))
+        .agg(F.sum("_rows").alias("_rows"))
+    )
+    upto = F.sum("_rows").over(W.partitionBy("_key", "name").orderBy(F.col("_in").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    reached = kept.withColumn("_upto", upto)
+    picked = reached.groupBy("_key", "name", "place").agg(
+        F.min(F.when(F.col("_upto") > F.floor("place"), F.col("_in"))).alias("_lower"),
+        F.min(F.when(F.col("_upto") > F.ceil("place"), F.col("_in"))).alias("_upper"),
+    )
+    between = (F.ceil("place") - F.col("place")) * F.col("_lower") + (F.col("place") - F.floor("place")) * F.col("_upper")
+    found = picked.withColumn("_quantile", F.when(F.floor("place") == F.ceil("place"), F.col("_lower")).otherwise(between))
+    return found.groupBy(F.col("_key").alias(key)).agg(*[F.max(F.when(F.col("name") == n, F.col("_quantile"))).alias(n) for n in quantiles])
+
+
+def salary_stats(pool: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """Count, mean, sample deviation, exact quartiles and range of the numeric salaries, and the invalid count."""
     amount = F.coalesce(V.to_number(F.col("salary")), F.lit(None).cast("double"))
     rows = pool.withColumn("_amount", amount)
-    quartiles = [F.expr(f"percentile(_amount, {q})").alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    return rows.groupBy("slate_id").agg(
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    found = exact_quantiles(rows, "slate_id", "_amount", quartiles, accuracy).withColumnRenamed("slate_id", "_slate")
+    totals = rows.groupBy("slate_id").agg(
         F.count("_amount").alias("valid_count"),
         (F.count("*") - F.count("_amount")).alias("invalid_count"),
         F.avg("_amount").alias("mean_salary"),
         F.stddev_samp("_amount").alias("std_salary"),
         F.min("_amount").alias("min_salary"),
-        *quartiles,
         F.max("_amount").alias("max_salary"),
     )
+    joined = totals.join(found, F.col("slate_id").eqNullSafe(F.col("_slate")), "left")
+    return joined.select(
+        "slate_id", "valid_count", "invalid_count", "mean_salary", "std_salary", "min_salary", *quartiles, "max_salary"
+    )
 
 
 def column_quality(pool: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

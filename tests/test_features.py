@@ -58,3 +58,21 @@ def test_running_and_hashed_numbers_do_not_depend_on_partitioning(spark):
     a = {r.name: r.n for r in hashed_number(names.repartition(7), "name", "n").collect()}
     b = {r.name: r.n for r in hashed_number(names.coalesce(1), "name", "n").collect()}
     assert a == b and sorted(a.values()) == list(range(1, 501))
+
+
+@pytest.mark.parametrize("cut_rows", [1, 40, 150])
+def test_one_week_of_one_player_is_cut_into_ranges(spark, cut_rows):
+    rng = random.Random(cut_rows)
+    hot = [(1, 2023, 4, seq, float(rng.randint(0, 40))) for seq in range(400)]
+    rest = [(p, 2023, w, 1000 + 10 * w + i, float(rng.randint(0, 40))) for p in range(4) for w in range(1, 9) for i in range(3)]
+    frame = pd.DataFrame(hot + rest, columns=["player_id", "season", "week", "seq", "fantasy_points_ppr"]).sort_values(["season", "week", "seq"])
+    frame["want"] = frame.groupby("player_id")["fantasy_points_ppr"].transform(lambda s: s.shift(1).rolling(3, min_periods=1).mean())
+    rows = spark.createDataFrame((hot + rest)[::-1], "player_id bigint, season bigint, week bigint, seq bigint, fantasy_points_ppr double")
+    got = W.rolling_features(rows, {"fp_avg_3": "fantasy_points_ppr"}, cut_rows=cut_rows).collect()
+    assert len(got) == len(frame)
+    want = {(p, w, s): None if pd.isna(v) else v for p, w, s, v in zip(frame.player_id, frame.week, frame.seq, frame.want, strict=True)}
+    for r in got:
+        expected = want[r.player_id, r.week, r.seq]
+        assert r.fp_avg_3 == (None if expected is None else pytest.approx(expected)), r
+    cuts = W.cut_crowded_chunks(rows, "player_id", ["season", "week"], ["seq"], cut_rows).filter("week = 4 AND player_id = 1").groupBy("_cut").count().collect()
+    assert len(cuts) > 1 and max(r["count"] for r in cuts) < 403

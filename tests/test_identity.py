@@ -155,3 +155,34 @@ def test_greedy_lineup_reports_the_short_position(spark):
     assert len([r for r in got if r.slate_id == 1]) == 9 and all(r.total_salary == 27000 and r.under_cap for r in got if r.slate_id == 1)
     assert [(r.slot, r.error) for r in got if r.slate_id == 2] == [(None, "Not enough RB players available")]
     assert {r.slate_id: r.cheapest for r in P.cheapest_lineup(pool).collect()} == {1: 27000, 2: None}
+
+
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("abA ") for _ in range(rng.randint(0, 7)))
+    left, right = [text() for _ in range(60)] + [None, "", "é😀b"], [text() for _ in range(60)] + [None, "x😀bé", "é😀"]
+    a = spark.createDataFrame([(x,) for x in left], "name string")
+    b = spark.createDataFrame([(x,) for x in right], "name string")
+    trimmed = lambda names: {x.strip(" ") for x in names if x is not None}
+    for others, rows in ((trimmed(right), b), (trimmed(right) - {""}, b.filter("trim(name) <> ''"))):
+        got = {r.name_a: r.name_b for r in I.partial_name_overlap(a, rows).collect()}
+        want = {}
+        for x in trimmed(left):
+            holders = [y for y in others if x.lower() in y.lower() or y.lower() in x.lower()]
+            if holders:
+                want[x] = min(holders)
+        assert got == want
+
+
+def test_search_equals_brute_force(spark):
+    rng = random.Random(12)
+    text = lambda low: "".join(rng.choice("abc ") for _ in range(rng.randint(low, 9)))
+    names = {i: "c" + text(1) for i in range(80)}
+    players = spark.createDataFrame([player(i, n) for i, n in names.items()], PLAYERS)
+    aliases = spark.createDataFrame([], ALIASES)
+    asked = sorted({text(0)[:rng.randint(0, 5)] for _ in range(40)} | {"", "zz"})
+    found = I.search_players(players, aliases, spark.createDataFrame([(q,) for q in asked] + [(None,)], "query string"), n=1000).collect()
+    fields = {r.id: [x.lower() for x in (r.canonical_name, r.first_name, r.last_name) if x is not None] for r in players.collect()}
+    want = {(q, i) for q in asked for i, texts in fields.items() if any(q in x for x in texts)}
+    assert {(r["query"], r.id) for r in found} == want and len(found) == len(want)
+    assert I.search_players(players, aliases, spark.createDataFrame([], "query string")).count() == 0
