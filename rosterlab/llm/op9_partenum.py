@@ -28,6 +28,8 @@ WORDS, SIMILAR = 5, 80  # per cent
 SMALL_RUN = 12
 #: Sets that one task compares with each other, and bits of the bitmap that leaves out texts without candidates.
 BLOCK, BITS = 256, 22
+#: Bytes of signatures and their sets' names for each shingle, and bytes that one task takes of them or of sets.
+SIGNATURE_BYTES, TASK_BYTES = 14, 1 << 23
 #: Bytes of text whose sets a worker holds at a time.
 TEXT_BYTES = 1 << 20
 
@@ -389,9 +391,9 @@ def _across(make: Callable) -> Callable[[pa.Table], pa.RecordBatch | None]:
     return handle
 
 
-def solve(rows: DataFrame, group: list[str], make: Callable) -> DataFrame:
+def solve(rows: DataFrame, group: list[str], make: Callable, tasks: int) -> DataFrame:
     """Edges (a, b) that span the links within each group of rows (*group, node, n, data)."""
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_by_group(group, _solve(make)), "a long, b long")
+    return rows.repartition(tasks, *group).sortWithinPartitions(*group).mapInArrow(_by_group(group, _solve(make)), "a long, b long")
 
 
 def across(rows: DataFrame, make: Callable) -> DataFrame:
@@ -446,6 +448,11 @@ def _sealed(text: str) -> F.Column:
     return F.xxhash64(F.col(text))
 
 
+def _tasks(spark: SparkSession, sets: DataFrame, width: int) -> int:
+    """Tasks for sets of n elements each, at `width` bytes an element; not fewer than the session's shuffle partitions."""
+    return max(C.partitions(spark), (sets.select(F.sum("n")).first()[0] or 0) * width // TASK_BYTES)
+
+
 def _components(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(id, seal, n, node, group, component_id) for every row of df: its set, the set that names the component, its smallest key."""
     spark = df.sparkSession
@@ -453,9 +460,10 @@ def _components(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     profile = C.staged(docs.withColumn(_SEAL, _sealed(text)).mapInArrow(C.in_arrow(_profiles(k, key, text), text, TEXT_BYTES), "id long, seal long, n long, node long, cells binary"))
     nodes = C.staged(profile.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("cells").alias("cells")))
 
-    buckets = 1 << max(0, (8 * C.partitions(spark)).bit_length())
+    # one bucket a task, and as many as the shingles of all documents call for
+    buckets = 1 << (_tasks(spark, profile, SIGNATURE_BYTES) - 1).bit_length()
     rows = docs.mapInArrow(C.in_arrow(_signature_rows(k, text, buckets), text, TEXT_BYTES), "bucket long, sigs binary, who binary, nodes binary")
-    found = C.staged(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_runs, "kind int, a long, b long"))
+    found = C.staged(rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_runs, "kind int, a long, b long"))
 
     pairs = found.where("kind = 0").select("a", "b").distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("cells").alias("xa"))
@@ -477,7 +485,7 @@ def _components(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     members = C.staged(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("data")).join(clusters.withColumnRenamed("component", "cluster"), "node"))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("m")).select(F.col("component").alias("cluster"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    edges = C.staged(solve(dealt.select("cluster", "block", "node", "n", "data"), ["cluster", "block"], _near_sets))
+    edges = C.staged(solve(dealt.select("cluster", "block", "node", "n", "data"), ["cluster", "block"], _near_sets, _tasks(spark, members, 8)))
 
     large = C.staged(sizes.where("blocks > 1").select("cluster"))
     if not large.isEmpty():
@@ -505,12 +513,13 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
 def _join_blocks(members: DataFrame, edges: DataFrame) -> DataFrame:
     """More edges for clusters of several blocks: first among one set of each part found so far, again in blocks, then
     between all sets of parts that are still separate."""
+    tasks = _tasks(members.sparkSession, members, 8)
     for turn in (1, 2):
         parts = C.components(edges)
         roots = members.join(parts, "node", "left").where(F.coalesce("component", "node") == F.col("node")).drop("component")
         sizes = roots.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         dealt = roots.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int"))
-        edges = C.staged(edges.union(solve(dealt.select("cluster", "block", "node", "n", "data"), ["cluster", "block"], _near_sets)))
+        edges = C.staged(edges.union(solve(dealt.select("cluster", "block", "node", "n", "data"), ["cluster", "block"], _near_sets, tasks)))
     parts = C.components(edges)
     rows = members.join(parts, "node", "left").select(F.col("cluster").alias("group"), F.coalesce("component", "node").alias("component"), "node", "n", "data")
     return C.staged(edges.union(across(rows, _near_sets)))
