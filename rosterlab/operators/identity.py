@@ -363,9 +363,13 @@ def partial_name_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
 PLAYER_FIELDS = ("first_name", "last_name", "position", "team", "nfl_id")
 
 
-def upsert_players(players: DataFrame, batch: DataFrame, stamp: str = "updated_seq", order: str = "seq") -> DataFrame:
+def upsert_players(
+    players: DataFrame, batch: DataFrame, stamp: str = "updated_seq", order: str = "seq", last_id: int | None = None
+) -> DataFrame:
     """Merge a batch by canonical name, last row of the batch wins; known players keep their id.
 
+    ``last_id`` is the highest id given so far where ``players`` is only a part of the table.
+
     New players are numbered after the highest id in the order of their name's digest, so the ids do not depend on
     partitioning.
     """
@@ -381,8 +385,8 @@ def upsert_players(players: DataFrame, batch: DataFrame, stamp: str = "updated_s
         *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in (*PLAYER_FIELDS, stamp)],
     )
     added = hashed_number(latest.join(players, "canonical_name", "left_anti"), "canonical_name", "_number")
-    last_id = players.select(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
-    numbered = added.select((F.col("_number") + last_id).alias("id"), "canonical_name", *PLAYER_FIELDS, stamp)
+    highest = players.select(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar() if last_id is None else F.lit(last_id)
+    numbered = added.select((F.col("_number") + highest).alias("id"), "canonical_name", *PLAYER_FIELDS, stamp)
     return kept.unionByName(numbered)
 
 
