@@ -173,12 +173,10 @@ def _by_piece(texts: DataFrame, text: str, sizes: Sequence[int]) -> DataFrame:
     return texts.filter(F.col(text).isNotNull()).select("*", F.explode(F.concat(*[_pieces(text, n) for n in sizes])).alias("_piece"))
 
 
-def _containing(texts: DataFrame, text: str, wanted: DataFrame, needle: str) -> DataFrame:
-    """Rows of ``texts`` next to every row of ``wanted`` whose text they contain; both sides' other columns are kept.
+def _meeting(texts: DataFrame, text: str, wanted: DataFrame, needle: str) -> DataFrame:
+    """Rows of ``texts`` next to each distinct needle that they may contain: those with the needle's rarest piece.
 
-    A needle waits under the rarest of its pieces, so a frequent one gathers only what consists of frequent pieces.
-    Texts arrive by their own pieces, linear in their length, and what meets is verified.  A needle with a piece that no
-    text has is inside none.  Null texts and needles meet nothing; the empty needle is inside every text.
+    Both sides are as large as the tables however small their files are, so the joins merge and nothing is broadcast.
     """
     needles = wanted.filter(F.col(needle).isNotNull())
     own_size = F.least(F.length(needle), F.lit(PIECE))
@@ -190,14 +188,24 @@ def _containing(texts: DataFrame, text: str, wanted: DataFrame, needle: str) ->
     waiting = needles.select(needle).distinct().select(needle, F.explode(own).alias("_piece"))
     spread = arriving.groupBy("_piece").agg(F.count("*").alias("_texts"))
     rarest = (
-        waiting.join(spread, "_piece", "left")
+        waiting.join(spread.hint("merge"), "_piece", "left")
         .groupBy(needle)
         .agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("_texts"), "_piece")).alias("_least"))
         .filter(F.col("_least._texts") > 0)
         .select(needle, "_least._piece")
     )
-    met = arriving.join(rarest, "_piece").filter(F.contains(F.col(text), F.col(needle))).drop("_piece")
-    return met.join(needles, needle)
+    return arriving.join(rarest.hint("merge"), "_piece").drop("_piece")
+
+
+def _containing(texts: DataFrame, text: str, wanted: DataFrame, needle: str) -> DataFrame:
+    """Rows of ``texts`` next to every row of ``wanted`` whose text they contain; both sides' other columns are kept.
+
+    A needle waits under the rarest of its pieces, so a frequent one gathers only what consists of frequent pieces.
+    Texts arrive by their own pieces, linear in their length, and what meets is verified.  A needle with a piece that no
+    text has is inside none.  Null texts and needles meet nothing; the empty needle is inside every text.
+    """
+    met = _meeting(texts, text, wanted, needle).filter(F.contains(F.col(text), F.col(needle)))
+    return met.join(wanted.hint("merge"), needle)
 
 
 def search_players(players: DataFrame, aliases: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
@@ -216,13 +224,13 @@ def search_players(players: DataFrame, aliases: DataFrame, queries: DataFrame, n
         F.col("player_id").alias("id"), F.col("alias_name").alias("_name"), F.coalesce("confidence_score", F.lit(1.0)).alias("search_score")
     )
     # A hit on the player's own names counts with the score of each of the player's aliases, or 1 without any.
-    scores = players.select("id").join(scored.select("id", "search_score").distinct(), "id", "left").select(
+    scores = players.select("id").join(scored.select("id", "search_score").distinct().hint("merge"), "id", "left").select(
         "id", F.coalesce("search_score", F.lit(1.0)).alias("search_score")
     )
-    by_own = hits(own, "id").join(scores, "id").select("query", "id", "search_score")
+    by_own = hits(own, "id").join(scores.hint("merge"), "id").select("query", "id", "search_score")
     rows = by_own.unionByName(hits(scored, "id", "search_score")).distinct()
     ranked = top_per_key(rows, ["query"], [F.col("search_score").desc(), F.col("id")], n, "rank")
-    return ranked.join(players, "id").select(
+    return ranked.join(players.hint("merge"), "id").select(
         "query", "rank", "id", "canonical_name", "position", "team", "search_score"
     )
 
@@ -350,7 +358,7 @@ def partial_name_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     short = F.length("_a") <= PIECE
     sizes = sorted(a.filter(short).select(F.collect_set(F.length("_a"))).first()[0]) or [0]
     holders = _by_piece(b_texts, "_b", sizes).groupBy(F.col("_piece").alias("_a")).agg(F.min("name_b").alias("name_b"))
-    inside_b = a.filter(short).join(holders, "_a")
+    inside_b = a.filter(short).join(holders.hint("merge"), "_a")
     inside_long_b = _containing(b_texts, "_b", a.filter(~short), "_a")
     hits = inside_a.select("name_a", "name_b")
     for more in (inside_b, inside_long_b):

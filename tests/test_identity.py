@@ -186,3 +186,13 @@ def test_search_equals_brute_force(spark):
     want = {(q, i) for q in asked for i, texts in fields.items() if any(q in x for x in texts)}
     assert {(r["query"], r.id) for r in found} == want and len(found) == len(want)
     assert I.search_players(players, aliases, spark.createDataFrame([], "query string")).count() == 0
+
+
+def test_containment_broadcasts_nothing(spark):
+    names = spark.createDataFrame([("Ann One",), ("Bob Two",)], "name string")
+    wanted = spark.createDataFrame([("one",)], "needle string")
+    found = I._containing(names.select(F.lower("name").alias("name")), "name", wanted, "needle")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    players = spark.createDataFrame([player(1, "A One")], PLAYERS)
+    searched = I.search_players(players, spark.createDataFrame([], ALIASES), wanted.withColumnRenamed("needle", "query"))
+    assert "BroadcastHashJoin" not in searched._jdf.queryExecution().executedPlan().toString()
