@@ -156,7 +156,7 @@ def name_map_join(rows: DataFrame, name_map: DataFrame | None = None) -> DataFra
 
 
 #: Length of the pieces by which names are looked up; shorter texts are their own piece.
-PIECE = 3
+PIECE = 12  # long, so that the rarest piece of a text stays rare as names grow in number
 
 
 def _pieces(text: str, size: int) -> Column:
@@ -211,7 +211,7 @@ def _containing(texts: DataFrame, text: str, wanted: DataFrame, needle: str) ->
 def search_players(players: DataFrame, aliases: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
     """Case-insensitive contains-search over canonical, first, last and alias names; top n players per query.
 
-    Names are found by pieces of three characters and verified, see ``_containing``; the empty query is inside every name.
+    Names are found by pieces of a few characters and verified, see ``_containing``; the empty query is inside every name.
     """
     wanted = queries.select("query", F.lower("query").alias("_lower"))
 

@@ -196,3 +196,11 @@ def test_containment_broadcasts_nothing(spark):
     players = spark.createDataFrame([player(1, "A One")], PLAYERS)
     searched = I.search_players(players, spark.createDataFrame([], ALIASES), wanted.withColumnRenamed("needle", "query"))
     assert "BroadcastHashJoin" not in searched._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frequent_short_pieces_do_not_pair_all_names(spark):
+    rng = random.Random(5)
+    names = {"".join(rng.choice("ab") for _ in range(14)) for _ in range(400)}
+    texts = spark.createDataFrame([(x,) for x in names], "text string")
+    met = I._meeting(texts, "text", texts.withColumnRenamed("text", "needle"), "needle")
+    assert met.count() <= 4 * len(names)
