@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rosterlab import fixtures
 from rosterlab.operators import lineups as L
 from rosterlab.plans.report import lineup_report
 
@@ -165,3 +167,48 @@ def test_assign_slots_labels_the_seventh_skill_player(spark):
     slots = sorted(r.slot for r in L.assign_slots(rows).collect())
     assert slots == sorted(s for s, _ in SLOTS)
     assert L.total_rows(table(spark, lineup(1))).filter(F.col("slot") == "TOTAL").first().salary == 45000
+
+
+def _contests(spark, sizes):
+    rng = random.Random(21)
+    rows = {(c, i): rng.sample(range(30), 9) for c, n in sizes.items() for i in range(n)}
+    df = spark.createDataFrame([(*key, p) for key, players in rows.items() for p in players], "contest_id bigint, lineup bigint, player_id bigint")
+    return df, rows
+
+
+def test_small_and_large_contests_equal_brute_force(spark):
+    df, rows = _contests(spark, {1: 1, 2: 12, 3: L.SMALL_CONTEST, 4: L.SMALL_CONTEST + 6})
+    pairs = [(a[0], len(set(rows[a]) & set(rows[b])), a[1], b[1]) for a, b in combinations(sorted(rows), 2) if a[0] == b[0]]
+    assert {(r.contest_id, r.shared): r.pairs for r in L.lineup_overlap(df).collect()} == Counter((c, n) for c, n, _, _ in pairs)
+    got = {r.contest_id: (r.min_pair_overlap, r.min_pair_uniques, r.worst_a, r.worst_b) for r in L.overlap_summary(df).collect()}
+    want = {c: (*(x := min(p for p in pairs if p[0] == c))[1:2], 18 - 2 * max(p[1] for p in pairs if p[0] == c), *x[2:]) for c in (2, 3, 4)}
+    assert got == want | {1: (0, 9, None, None)}
+
+
+def test_small_contests_stage_one_row_a_lineup(spark):
+    df, _ = _contests(spark, {2: 12, 4: L.SMALL_CONTEST + 6})
+    small, members = L._rosters(df)
+    assert [r.contest_id for r in small.collect()] == [2]
+    assert {r.contest_id for r in members.select("contest_id").distinct().collect()} == {4}
+
+
+def test_contest_sizes_are_not_broadcast_and_do_not_broadcast(spark):
+    df, _ = _contests(spark, {1: 3})
+    rows = df.selectExpr("*", "'A' AS name", "'QB' AS pos", "'KC' AS team", "1 AS salary", "1.0 AS proj_points")
+    assert "BroadcastHashJoin" not in L.player_exposure(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lineups_join_one_row_an_order(spark, tmp_path):
+    parts = [(k, f"part {k}", None if k % 41 == 0 else f"Brand#{k % 25 + 1}", t, 1, 1.0) for k in range(600) for t in [["ECONOMY", "PROMO", "LARGE", "MEDIUM", "STANDARD", "SMALL", None][k % 7]] if k < 250 or t != "STANDARD"]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    orders = [(i, None if i % 17 == 0 else i % 23) for i in range(200)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = fixtures.view(spark, str(tmp_path), "v_lineups")
+    plain = spark.sql(fixtures.with_views("SELECT * FROM v_lineups", "spark"))
+    assert got.schema.names == plain.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in plain.schema]
+    assert got.count() == plain.count() > 0 and got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+    broken = spark.sql(fixtures.with_views("SELECT * FROM v_broken_lineups", "spark"))
+    assert sorted(map(tuple, fixtures.view(spark, str(tmp_path), "v_broken_lineups").collect()), key=repr) == sorted(map(tuple, broken.collect()), key=repr)
+    # the nine places of an order come after the join with the players
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Join Inner")
