@@ -295,13 +295,54 @@ def match_cascade(source: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
+CHUNK = 4096  # texts that one row holds
+
+
+def _chunked(rows: DataFrame, text: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt by their text to chunks of about CHUNK rows within (pos, _scope), and the number of chunks of each."""
+    block = ["pos", "_scope"]
+    counts = rows.groupBy(*block).agg(F.ceil(F.count("*") / CHUNK).alias(f"_n{name}"))
+    dealt = rows.join(counts, block).withColumn(name, F.pmod(F.xxhash64(text), F.col(f"_n{name}"))).drop(f"_n{name}")
+    return dealt, counts
+
+
+def _best_of_chunks(questions: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The n best texts of each chunk of a question's block.
+
+    A chunk of texts is one row, so a question keeps its n best of the chunk where it is scored and no pair is sorted,
+    shuffled or spilled.  Questions are dealt to chunks too, so a large block is scored by many tasks.
+    """
+    asked, asked_counts = _chunked(questions, "_text", "_ask")
+    offered, offered_counts = _chunked(texts, "_b_text", "_tile")
+    all_chunks = lambda count, name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)).alias(name)
+    chunks = offered.groupBy("pos", "_scope", "_tile").agg(F.collect_list(F.struct("_b_text", "_first")).alias("_texts"))
+    copies = chunks.join(asked_counts, ["pos", "_scope"]).select("pos", "_scope", "_tile", "_texts", all_chunks("_n_ask", "_ask"))
+    spread = asked.join(offered_counts, ["pos", "_scope"]).select("pos", "_scope", "_text", "_ask", all_chunks("_n_tile", "_tile"))
+    on = ["pos", "_scope", "_ask", "_tile"]
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = spread.repartition(tasks, *on).join(copies.hint("merge"), on)
+
+    def score(x: Column) -> Column:
+        possible = N.length_bound(N.text_similarity, F.col("_text"), x["_b_text"])
+        return F.when(possible >= threshold - 1e-6, F.round(N.text_similarity(F.col("_text"), x["_b_text"]), 6))
+
+    # The n-th best score is found among plain numbers; only what reaches it is ordered by its first id.
+    scored = met.withColumn("_scores", F.transform("_texts", score))
+    above = F.sort_array(F.filter("_scores", lambda v: v > threshold), asc=False)
+    cut = scored.withColumn("_cut", F.coalesce(F.get(above, F.lit(n - 1)), F.lit(threshold)))
+    reaching = F.filter("_texts", lambda x, i: (F.get("_scores", i) > threshold) & (F.get("_scores", i) >= F.col("_cut")))
+    ordered = F.array_sort(F.transform(reaching, lambda x: F.struct((-score(x)).alias("_low"), x["_first"].alias("_first"), x["_b_text"].alias("_b_text"))))
+    best = cut.select("pos", "_scope", "_text", "_tile", F.inline(F.slice(ordered, 1, n)))
+    return best.select("pos", "_scope", "_text", "_tile", (-F.col("_low")).alias("similarity"), "_first", "_b_text")
+
+
 def match_candidates(
     unmatched: DataFrame, candidates: DataFrame, n: int = 5, threshold: float = 0.3, tiles: int = 16, similarity=N.text_similarity
 ) -> DataFrame:
     """Up to n suggestions per unmatched player: same position, same team when the team has any, score > threshold.
 
-    Both sides are reduced to distinct name texts per block first.  Each block's candidates are cut into tiles, every
-    tile keeps its own n best before the shuffle, so a large block is scored by many tasks and never gathered.
+    Both sides are reduced to distinct name texts per block first.  Each block's candidates are cut into chunks, every
+    chunk keeps its own n best before the shuffle, so a large block is scored by many tasks and never gathered.
     ``similarity`` scores two prepared texts; ``text_sequence_similarity`` is the longest-matching-block alternative.
     """
     teams = candidates.select("pos", "team").distinct().withColumn("_team_known", F.lit(True))
@@ -315,23 +356,28 @@ def match_candidates(
         F.explode(F.array(F.concat(F.lit("="), F.col("team")), F.lit("*"))).alias("_scope"),
     )
     offered = offered.filter(F.col("_scope").isNotNull())
+    keys = ["pos", "_scope", "_text"]
     texts = offered.groupBy("pos", "_scope", "_b_text").agg(F.min("b_id").alias("_first"))
-    texts = texts.withColumn("_tile", F.pmod(F.xxhash64("_b_text"), F.lit(tiles)))
-    tile_list = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint"))).alias("_tile")
-    questions = asked.select("pos", "_scope", "_text").distinct().select("*", tile_list)
-    possible = N.length_bound(similarity, F.col("_text"), F.col("_b_text"))
-    pairs = questions.join(texts, ["pos", "_scope", "_tile"]).filter(possible >= threshold - 1e-6)
-    scored = pairs.withColumn("similarity", F.round(similarity(F.col("_text"), F.col("_b_text")), 6)).filter(
-        F.col("similarity") > threshold
-    )
+    questions = asked.select(*keys).distinct()
+    best_first = [F.col("similarity").desc(), F.col("_first")]
+    if similarity is N.text_similarity:
+        tile_best = _best_of_chunks(questions, texts, n, threshold)
+    else:
+        # A score that runs in Python has no form inside an array: its pairs are rows.
+        tile_list = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint"))).alias("_tile")
+        tiled = texts.withColumn("_tile", F.pmod(F.xxhash64("_b_text"), F.lit(tiles)))
+        possible = N.length_bound(similarity, F.col("_text"), F.col("_b_text"))
+        pairs = questions.select("*", tile_list).join(tiled, ["pos", "_scope", "_tile"]).filter(possible >= threshold - 1e-6)
+        scored = pairs.withColumn("similarity", F.round(similarity(F.col("_text"), F.col("_b_text")), 6)).filter(
+            F.col("similarity") > threshold
+        )
+        tile_best = top_per_key(scored, [*keys, "_tile"], best_first, n)
     # n best distinct texts per tile, then overall; n ids per text are enough for n suggestions.
-    keys = ["pos", "_scope", "_text"]
     few_ids = top_per_key(offered, ["pos", "_scope", "_b_text"], [F.col("b_id")], n)
-    best_first = [F.col("similarity").desc(), F.col("_first")]
-    distinct_best = top_per_key(top_per_key(scored, [*keys, "_tile"], best_first, n), keys, best_first, n)
-    named = distinct_best.join(few_ids, ["pos", "_scope", "_b_text"]).select(*keys, "similarity", "b_id", "b_name", "b_team")
+    distinct_best = top_per_key(tile_best, keys, best_first, n)
+    named = distinct_best.join(few_ids.hint("merge"), ["pos", "_scope", "_b_text"]).select(*keys, "similarity", "b_id", "b_name", "b_team")
     best = top_per_key(named, keys, [F.col("similarity").desc(), F.col("b_id")], n, "rank")
-    return asked.join(best, keys).select("a_id", "a_name", "pos", "rank", "b_id", "b_name", "b_team", "similarity")
+    return asked.join(best.hint("merge"), keys).select("a_id", "a_name", "pos", "rank", "b_id", "b_name", "b_team", "similarity")
 
 
 def ambiguous_matches(claims: DataFrame) -> DataFrame:

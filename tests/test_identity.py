@@ -204,3 +204,19 @@ def test_frequent_short_pieces_do_not_pair_all_names(spark):
     texts = spark.createDataFrame([(x,) for x in names], "text string")
     met = I._meeting(texts, "text", texts.withColumnRenamed("text", "needle"), "needle")
     assert met.count() <= 4 * len(names)
+
+
+def test_candidates_keep_the_best_of_each_chunk(spark, monkeypatch):
+    rng = random.Random(8)
+    names = lambda n: sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(3, 7))) for _ in range(n)})
+    a = spark.createDataFrame([(f"A{i}", x, "QB", "KC") for i, x in enumerate(names(15))], "a_id string, name string, pos string, team string")
+    b = spark.createDataFrame([(f"B{i:02}", x, "QB", "KC") for i, x in enumerate(names(60))], "b_id string, name string, pos string, team string")
+    questions = a.selectExpr("pos", "'=KC' AS _scope", "name AS _text")
+    texts = b.selectExpr("pos", "'=KC' AS _scope", "name AS _b_text", "b_id AS _first")
+    assert I._best_of_chunks(questions, texts, 2, 0.3).count() <= 2 * questions.count()
+    score = F.round(N.text_similarity(F.col("name"), F.col("b_name")), 6)
+    pairs = a.join(b.withColumnRenamed("name", "b_name"), ["pos", "team"]).withColumn("s", score).filter("s > 0.3").collect()
+    want = {(r.a_id, i + 1, q.b_id) for r in a.collect() for i, q in enumerate(sorted((p for p in pairs if p.a_id == r.a_id), key=lambda p: (-p.s, p.b_id))[:2])}
+    for size in (I.CHUNK, 7):
+        monkeypatch.setattr(I, "CHUNK", size)
+        assert {(r.a_id, r["rank"], r.b_id) for r in I.match_candidates(a, b, n=2).collect()} == want
