@@ -30,6 +30,8 @@ SMALL_RUN = 12
 BLOCK, BITS = 256, 22
 #: Bytes of signatures and their sets' names for each shingle, and bytes that one task takes of them or of sets.
 SIGNATURE_BYTES, TASK_BYTES = 14, 1 << 23
+#: Bits of a signature that travel next to its bucket; sets that agree in them by chance are candidates, compared like others.
+SENT_BITS = 32
 #: Bytes of text whose sets a worker holds at a time.
 TEXT_BYTES = 1 << 20
 
@@ -152,7 +154,8 @@ def _signatures(values: np.ndarray, size: np.ndarray, offsets: np.ndarray, chose
 
 
 def _signature_rows(k: int, text: str, buckets: int) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-    """For each bucket of signatures one row: the signatures, their sets' numbers and the sets' names."""
+    """For each bucket of signatures one row: the bits of the signatures below the bucket's, and their sets' names."""
+    bits = buckets.bit_length() - 1
 
     def step(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         values, offsets = shingle_sets(*C.buffers(block.column(text)), k)
@@ -166,21 +169,20 @@ def _signature_rows(k: int, text: str, buckets: int) -> Callable[[pa.RecordBatch
                 s, w = _signatures(values, size, offsets, one[(band == b) | (band == b + 1)], int(b))
                 sigs.append(s)
                 who.append(w)
-        sig, doc = np.concatenate(sigs), np.concatenate(who)
+        sig, node = np.concatenate(sigs), nodes[np.concatenate(who)]
         if not len(sig):
             return
-        bucket = (sig >> np.uint64(65 - buckets.bit_length())).astype(np.int64) if buckets > 1 else np.zeros(len(sig), np.int64)
+        bucket = (sig >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
         order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-        sig, doc, bucket = sig[order], doc[order], bucket[order]
+        sent = (sig >> np.uint64(64 - SENT_BITS - bits)).astype("<u4")[order]
+        node, bucket = node[order].astype("<i8"), bucket[order]
         begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ends = np.append(begin[1:], len(sig))
-        rows: tuple[list, list, list] = ([], [], [])
+        ends = np.append(begin[1:], len(sent))
+        rows: tuple[list, list] = ([], [])
         for a, b in zip(begin.tolist(), ends.tolist(), strict=True):
-            there, number = np.unique(doc[a:b], return_inverse=True)
-            rows[0].append(sig[a:b].tobytes())
-            rows[1].append(number.astype("<u4" if len(there) > 1 << 16 else "<u2").tobytes())
-            rows[2].append(nodes[there].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), *[pa.array(r, pa.binary()) for r in rows]], ["bucket", "sigs", "who", "nodes"])
+            rows[0].append(sent[a:b].tobytes())
+            rows[1].append(node[a:b].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), *[pa.array(r, pa.binary()) for r in rows]], ["bucket", "sigs", "nodes"])
 
     return step
 
@@ -189,13 +191,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (kind 0: a, b) of sets that share a signature, and members (kind 1: run, set) of long runs, bucket by bucket."""
     met: set[int] = set()
 
-    def flush(parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        sig = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
-        named = []
-        for s, w, nodes in parts:
-            wide = "<u4" if len(w) * 2 == len(s) else "<u2"
-            named.append(np.frombuffer(nodes, np.int64)[np.frombuffer(w, wide)])
-        node = np.concatenate(named)
+    def flush(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        sig = np.concatenate([np.frombuffer(p[0], "<u4") for p in parts])
+        node = np.concatenate([np.frombuffer(p[1], "<i8") for p in parts])
         order = np.argsort(sig, kind="stable")
         sig, node = sig[order], node[order]
         near = np.zeros(len(sig), bool)
@@ -233,15 +231,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(first) - len(pairs), np.int32)])
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(first), pa.array(second)], ["kind", "a", "b"])
 
-    held: list[tuple[bytes, bytes, bytes]] = []
+    held: list[tuple[bytes, bytes]] = []
     last = None
     for batch in batches:
-        for b, s, w, n in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+        for b, s, n in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             if b != last and held:
                 yield flush(held)
                 held = []
             last = b
-            held.append((s, w, n))
+            held.append((s, n))
     if held:
         yield flush(held)
 
@@ -462,7 +460,7 @@ def _components(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
     # one bucket a task, and as many as the shingles of all documents call for
     buckets = 1 << (_tasks(spark, profile, SIGNATURE_BYTES) - 1).bit_length()
-    rows = docs.mapInArrow(C.in_arrow(_signature_rows(k, text, buckets), text, TEXT_BYTES), "bucket long, sigs binary, who binary, nodes binary")
+    rows = docs.mapInArrow(C.in_arrow(_signature_rows(k, text, buckets), text, TEXT_BYTES), "bucket long, sigs binary, nodes binary")
     found = C.staged(rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_runs, "kind int, a long, b long"))
 
     pairs = found.where("kind = 0").select("a", "b").distinct()

@@ -8,8 +8,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from rosterlab.llm import common as C
 from rosterlab.llm import op1_winnowing, op7_substrings, op8_shuffle, op9_partenum
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -187,6 +189,28 @@ def test_signatures_meet_for_all_similar_sets():
         assert shared, (len(a), len(b), both)
 
 
+def test_signatures_take_as_many_bytes_in_any_number_of_buckets():
+    texts = pa.array([" ".join(str(i * j % 97) for j in range(60)) for i in range(40)])
+    sent = []
+    for buckets in (1, 16, 4096):
+        rows = [r for b in op9_partenum._signature_rows(5, "text", buckets)(pa.RecordBatch.from_arrays([texts], ["text"])) for r in b.to_pylist()]
+        assert all(3 * len(r["sigs"]) == len(r["sigs"]) + len(r["nodes"]) for r in rows)
+        sent.append(sum(len(r["sigs"]) + len(r["nodes"]) for r in rows))
+    assert sent[0] == sent[1] == sent[2]
+
+
+def test_few_edges_are_joined_in_one_task(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 60), (70, 60), (9, 9)], "a long, b long").repartition(5)
+    want = {**{i: 0 for i in range(41)}, 50: 50, 60: 50, 70: 50}
+    tasks = spark.sparkContext.statusTracker()
+    for few in (0, 1000):
+        monkeypatch.setattr(C, "FEW_EDGES", few)
+        spark.sparkContext.setJobGroup(f"edges-{few}", "")
+        assert {r["node"]: r["component"] for r in C.components(edges).collect()} == want
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tasks.getJobIdsForGroup("edges-1000")) < len(tasks.getJobIdsForGroup("edges-0"))
+
+
 def test_similar_sets_of_nothing(make):
     assert op9_partenum.similar_sets(make([(1, "a")]).limit(0)).count() == 0
     out = op9_partenum.similar_sets(make([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, None)])).collect()
