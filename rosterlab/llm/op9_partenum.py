@@ -420,8 +420,7 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, m, x, y in zip(*[batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")], strict=True):
             fits = 100 * min(n, m) >= SIMILAR * max(n, m)
             keep.append(fits and _apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * (100 + SIMILAR) <= (100 - SIMILAR) * (n + m))
-        keep = np.array(keep, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[keep]) for c in ("a", "b")], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "likely"])
 
 
 def _set_rows(k: int, text: str, slots: dict[int, int]) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
@@ -451,6 +450,26 @@ def _tasks(spark: SparkSession, sets: DataFrame, width: int) -> int:
     return max(C.partitions(spark), (sets.select(F.sum("n")).first()[0] or 0) * width // TASK_BYTES)
 
 
+def _parted(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b) whose ends lie in different clusters; a node without a cluster is one of its own."""
+    for end in ("a", "b"):
+        pairs = pairs.join(clusters.withColumnsRenamed({"node": end, "component": f"of_{end}"}), end, "left")
+    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _mixed_runs(members: DataFrame, ends: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(group, node, component) of the runs (group, node) whose members lie in several clusters.
+
+    A long run's neighbours are pairs, so that a mixed run has a dropped pair between two clusters: only runs that hold an
+    end of such a pair are shuffled and looked up.
+    """
+    groups = members.join(ends, "node", "left_semi").select("group").distinct()
+    runs = members.join(groups, "group", "left_semi").distinct().join(clusters, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    runs = C.staged(runs)
+    mixed = runs.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("group")
+    return runs.join(mixed, "group")
+
+
 def _components(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(id, seal, n, node, group, component_id) for every row of df: its set, the set that names the component, its smallest key."""
     spark = df.sparkSession
@@ -466,16 +485,17 @@ def _components(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     pairs = found.where("kind = 0").select("a", "b").distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("cells").alias("xa"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("xb"))
-    likely = C.staged(pairs.join(left, "a").join(right, "b").mapInArrow(_prune, "a long, b long"))
+    judged = C.staged(pairs.join(left, "a").join(right, "b").mapInArrow(_prune, "a long, b long, likely boolean"))
+    likely = judged.where("likely").select("a", "b")
     clusters = C.staged(C.components(likely))
 
     # members of long runs that the first pairs left in different clusters
-    runs = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("node")).distinct()
-    runs = runs.join(clusters, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = runs.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("group")
-    more = C.staged(across(runs.join(mixed, "group").join(nodes.select("node", "n", F.col("cells").alias("data")), "node").select("group", "component", "node", "n", "data"), _near_histograms))
-    if not more.isEmpty():
-        clusters = C.staged(C.components(likely.union(more)))
+    ends = C.staged(_parted(judged.where("NOT likely").select("a", "b"), clusters))
+    if not ends.isEmpty():
+        runs = _mixed_runs(found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("node")), ends, clusters)
+        more = C.staged(across(runs.join(nodes.select("node", "n", F.col("cells").alias("data")), "node").select("group", "component", "node", "n", "data"), _near_histograms))
+        if not more.isEmpty():
+            clusters = C.staged(C.components(likely.union(more)))
 
     # the sets themselves, of documents with candidates
     slots = {r["w"]: r["m"] for r in clusters.selectExpr(f"node & {(1 << BITS) - 1} AS s").selectExpr("s >> 6 AS w", "shiftleft(1L, int(s & 63)) AS b").groupBy("w").agg(F.bit_or("b").alias("m")).collect()}

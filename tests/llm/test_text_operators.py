@@ -165,6 +165,25 @@ def test_large_groups_are_joined_in_blocks(make, monkeypatch):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in out} == brute_sets(rows)
 
 
+def test_runs_are_looked_up_only_where_a_dropped_pair_parts_clusters(spark, make, monkeypatch):
+    monkeypatch.setattr(op9_partenum, "SMALL_RUN", 3)
+    called = []
+    across = op9_partenum.across
+    monkeypatch.setattr(op9_partenum, "across", lambda *a: called.append(1) or across(*a))
+    words = [f"w{x}" for x in range(120)]
+    rows = [(i, " ".join([*words[:-1], f"end{i}"])) for i in range(30)]
+    out = op9_partenum.similar_sets(make(rows)).collect()
+    assert {r["component_id"] for r in out} == {0} and not called
+
+    members = spark.createDataFrame([(g, n) for g, ns in ((1, (1, 2, 3, 4)), (2, (5, 6, 7, 8)), (3, (3, 9))) for n in ns] * 2, "group long, node long")
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (7, 5), (8, 5)], "node long, component long")
+    dropped = spark.createDataFrame([(2, 3), (5, 7), (3, 9)], "a long, b long")
+    ends = op9_partenum._parted(dropped, clusters)
+    assert sorted(r["node"] for r in ends.collect()) == [2, 3, 9]
+    mixed = sorted(tuple(r) for r in op9_partenum._mixed_runs(members, ends, clusters).select("group", "node", "component").collect())
+    assert mixed == [(1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 3), (3, 3, 3), (3, 9, 9)]
+
+
 def test_signatures_meet_for_all_similar_sets():
     """For random pairs at the edge of similarity, some signature is shared, at every size."""
     r = np.random.default_rng(1)
