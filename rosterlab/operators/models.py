@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlab import constants as C
 from rosterlab.functions.values import hex_number, linear_fallback
+from rosterlab.operators import forest as D
 from rosterlab.operators.normalise import union_positions
+from rosterlab.session import cut_lineage
 
 TARGET = "fantasy_points_ppr"
+#: Nodes a forest of Spark ML may come to, since the driver holds them all; deeper forests are kept as tables.
+DRIVER_NODES = 1 << 20
 OUTPUT_COLUMNS = ("name", "pos", "team", "opp", "is_home", "salary", "game_date", "proj_points")
 
 
@@ -46,22 +51,33 @@ def split_80_20(rows: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFra
 def train_position_models(
     features: DataFrame, keys: Sequence[str], positions: Sequence[str] = C.POSITIONS, nulls: str = "fill",
     trees: int = 300, depth: int = 30, seed: int = 42, minimums: dict[str, int] = C.MIN_TRAINING_ROWS,
-) -> tuple[dict[str, PipelineModel], DataFrame | None]:
-    """One forest per position that passes the row gate, and the validation predictions of all of them."""
+) -> tuple[dict[str, PipelineModel | D.TableForest], DataFrame | None]:
+    """One forest per position that passes the row gate, and the validation predictions of all of them.
+
+    A forest that may come to more than ``DRIVER_NODES`` nodes is grown by tasks and kept as a table.
+    """
+    deep = trees << (depth + 1) > DRIVER_NODES
+    if deep:
+        needed = dict.fromkeys([*keys, "pos", TARGET, *[c for pos in positions for c in C.TRAINING_FEATURES[pos]]])
+        features = cut_lineage(features.select(*[c for c in needed if c in features.columns]))
     gate = {r["pos"]: r["trainable"] for r in min_rows_gate(features, minimums).collect()}  # one row per position
-    models: dict[str, PipelineModel] = {}
+    models: dict[str, PipelineModel | D.TableForest] = {}
     validation: DataFrame | None = None
     for pos in positions:
         if not gate.get(pos, False):
             continue
         rows = split_80_20(training_set(features, pos, nulls), keys, seed).select(
             *keys, "pos", TARGET, "is_train", *C.TRAINING_FEATURES[pos]
-        ).persist()
-        assembler = VectorAssembler(inputCols=C.TRAINING_FEATURES[pos], outputCol="features")
-        forest = RandomForestRegressor(
-            featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True
         )
-        models[pos] = Pipeline(stages=[assembler, forest]).fit(rows.filter("is_train"))
+        if deep:
+            models[pos] = D.fit(rows.filter("is_train"), keys, C.TRAINING_FEATURES[pos], TARGET, trees, depth, seed)
+        else:
+            rows = rows.persist()
+            assembler = VectorAssembler(inputCols=C.TRAINING_FEATURES[pos], outputCol="features")
+            forest = RandomForestRegressor(
+                featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True
+            )
+            models[pos] = Pipeline(stages=[assembler, forest]).fit(rows.filter("is_train"))
         scored = models[pos].transform(rows).select(*keys, "pos", "is_train", TARGET, "prediction")
         validation = scored if validation is None else validation.unionByName(scored)
     return models, validation
@@ -90,7 +106,7 @@ def require_features(features: DataFrame, pos: str) -> list[str]:
     return C.FEATURE_CONTRACT[pos]
 
 
-def score_players(features: DataFrame, models: dict[str, PipelineModel] | None = None) -> DataFrame:
+def score_players(features: DataFrame, models: dict[str, PipelineModel | D.TableForest] | None = None) -> DataFrame:
     """proj_points of every player.
 
     Defenses get a constant.  A position without a model gets the weighted sum of its features, one whose model cannot
@@ -118,18 +134,24 @@ def score_players(features: DataFrame, models: dict[str, PipelineModel] | None =
     return union_positions(scored, features.withColumn("proj_points", F.lit(None).cast("double")))
 
 
-def save_models(models: dict[str, PipelineModel], path: str) -> None:
+def save_models(models: dict[str, PipelineModel | D.TableForest], path: str) -> None:
     for pos, model in models.items():
-        model.write().overwrite().save(f"{path.rstrip('/')}/pos={pos}")
+        target = f"{path.rstrip('/')}/pos={pos}"
+        if isinstance(model, D.TableForest):
+            model.save(target)
+        else:
+            model.write().overwrite().save(target)
 
 
-def load_models(path: str, positions: Sequence[str] = C.POSITIONS) -> dict[str, PipelineModel]:
+def load_models(path: str, positions: Sequence[str] = C.POSITIONS) -> dict[str, PipelineModel | D.TableForest]:
     """Models found under ``path``; a position without one is simply absent and scores by its fallback."""
     models = {}
     for pos in positions:
-        try:
-            models[pos] = PipelineModel.load(f"{path.rstrip('/')}/pos={pos}")
-        except Exception as error:  # the reader reports a missing path with different exception types
-            if "not exist" not in str(error).lower() and "no such" not in str(error).lower():
-                raise
+        for load in (PipelineModel.load, partial(D.TableForest.load, SparkSession.active())):
+            try:
+                models[pos] = load(f"{path.rstrip('/')}/pos={pos}")
+                break
+            except Exception as error:  # the reader reports a missing path with different exception types
+                if "not exist" not in str(error).lower() and "no such" not in str(error).lower():
+                    raise
     return models
