@@ -30,9 +30,7 @@ def lineup_report(lineups: DataFrame, cap: int = C.SALARY_CAP) -> dict[str, Data
         "player_exposure": L.player_exposure(rows).orderBy(F.col("appearances").desc(), "name"),
         "team_exposure": L.team_position_exposure(rows).orderBy(F.col("appearances").desc(), "team", "pos"),
         "stacks": L.bring_back(rows).orderBy("contest_id", "lineup"),
-        "validation_report": L.validation_summary(rows, cap).withColumn(
-            "pairwise_uniqueness", F.struct("min_pair_overlap", "min_pair_uniques", "worst_a", "worst_b")
-        ).drop("min_pair_overlap", "min_pair_uniques", "worst_a", "worst_b"),
+        "validation_report": L.validation_summary(rows, cap),
         "validation_errors": L.validation_errors(rows, cap),
     }
 

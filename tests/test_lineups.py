@@ -162,6 +162,18 @@ def test_report_without_contest_or_ids(spark):
     assert reports["player_exposure"].count() == 9
 
 
+def test_validation_summary_maps_lineups_to_errors(spark):
+    short = lambda rows: rows.pop()
+    rows = table(
+        spark, lineup(10, change=short), lineup(9, change=set_value(0, 8, "10001")), lineup(2), lineup(None, change=short),
+        lineup(1, contest=2), lineup(2, contest=2, players=[20, *range(1, 9)]),
+    )
+    got = {r.contest_id: r for r in L.validation_summary(rows).collect()}
+    assert got[1].errors == {"9": ["Salary 50001 exceeds cap 50000"], "10": ["Expected 9 players, got 8"], "null": ["Expected 9 players, got 8"]}
+    assert (got[1].total_lineups, got[1].lineups_with_errors) == (4, 3)
+    assert (got[2].errors, got[2].pairwise_uniqueness.asDict()) == ({}, {"min_pair_overlap": 8, "min_pair_uniques": 2, "worst_a": 1, "worst_b": 2})
+
+
 def test_assign_slots_labels_the_seventh_skill_player(spark):
     rows = table(spark, lineup(1)).drop("slot")
     slots = sorted(r.slot for r in L.assign_slots(rows).collect())
