@@ -12,7 +12,7 @@ from rosterlab.catalog.registry import ORACLES, register
 from rosterlab.fixtures import view
 from rosterlab.operators import lineups as L
 from rosterlab.operators.identity import IdentityTables
-from rosterlab.session import scratch_path
+from rosterlab.session import placed_joins, scratch_path
 from rosterlab.sources import identity_store as I
 from rosterlab.sources import lineups as S
 
@@ -63,11 +63,13 @@ _REPORT_SOURCES = {
 def write_reports(spark, d):
     """All four reports written and read back, every row of each; the verdicts are those of the lineups with faults."""
     rows = view(spark, d, "v_lineups")
+    within = L.contest_columns(rows, "slate_id")
     reports = {
-        "player_exposure": L.player_exposure(rows), "team_exposure": L.team_exposure(rows), "stacks": L.stack_sequence(rows),
+        "player_exposure": L.player_exposure(rows, within), "team_exposure": L.team_exposure(rows), "stacks": L.stack_sequence(rows, within),
         "validation_report": L.validate_lineups(L.drop_total_rows(view(spark, d, "v_broken_lineups"))),
     }
-    written = S.write_reports(reports, scratch_path(spark, "reports"))
+    with placed_joins(spark):
+        written = S.write_reports(reports, scratch_path(spark, "reports"))
     read = {n: S.scan_lineup_table(spark, path) for n, path in written.items() if n != "validation_report"}
     # the verdicts hold a list and are JSON lines
     verdicts = spark.read.schema("contest_id bigint, lineup bigint, errors array<string>, n_errors bigint").json(written["validation_report"])

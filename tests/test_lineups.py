@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rosterlab import fixtures
 from rosterlab.operators import lineups as L
 from rosterlab.plans.report import lineup_report
+from rosterlab.session import placed_joins
 
 SCHEMA = (
     "contest_id bigint, lineup bigint, slot string, player_id bigint, name string, pos string, team string, opp string, salary string, proj_points string"
@@ -224,3 +225,25 @@ def test_lineups_join_one_row_an_order(spark, tmp_path):
     # the nine places of an order come after the join with the players
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate posexplode") < plan.index("Join Inner")
+
+
+def test_exposure_and_stacks_by_slate_are_not_shuffled(spark, sf_dir):
+    rows = fixtures.view(spark, sf_dir, "v_lineups")
+    assert L.contest_columns(rows, "slate_id", "lineup") == ["slate_id"]
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    with placed_joins(spark):
+        exposure, stacks = L.player_exposure(rows, ["slate_id"]), L.qb_stack_join(rows, ["slate_id"])
+        for frame in (exposure, stacks):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert not any("contest_id" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+        assert same(exposure, L.player_exposure(rows)) and same(stacks.drop("slate_id"), L.qb_stack_join(rows))
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert same(L.stack_sequence(rows, ["slate_id"]), L.stack_sequence(rows))
+
+
+def test_a_contest_of_two_slates_or_none_is_not_cut_by_slate(spark):
+    rows = lambda *slates: spark.createDataFrame([(c, s) for c, s in slates], "contest_id bigint, slate_id bigint")
+    assert L.contest_columns(rows((1, 5), (1, 5), (2, 6), (None, 7)), "slate_id") == ["slate_id"]
+    assert L.contest_columns(rows((1, 5), (1, 6), (2, 6)), "slate_id") == []
+    assert L.contest_columns(rows((1, 5), (1, None)), "slate_id") == L.contest_columns(rows((1, None)), "slate_id") == []
+    assert L.contest_columns(rows(), "slate_id") == []
