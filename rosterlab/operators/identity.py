@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rosterlab import constants as C
 from rosterlab.functions import names as N
 from rosterlab.functions import values as V
+from rosterlab.functions.edits import Offered
 from rosterlab.operators.keyed import hashed_number, latest_per_key, top_per_key
-from rosterlab.session import cut_lineage
+from rosterlab.session import cut_lineage, importable
 
 # --- crosswalk -------------------------------------------------------------------------------------------------
 
@@ -295,7 +301,7 @@ def match_cascade(source: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
-CHUNK = 4096  # texts that one row holds
+CHUNK = 4096  # texts, and questions, that one group holds
 
 
 def _chunked(rows: DataFrame, text: str, name: str) -> tuple[DataFrame, DataFrame]:
@@ -306,34 +312,44 @@ def _chunked(rows: DataFrame, text: str, name: str) -> tuple[DataFrame, DataFram
     return dealt, counts
 
 
+def _best_of_two_chunks(n: int, threshold: float, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a chunk of questions and a chunk of texts: the n best texts of each question, ties by the first id, then the text."""
+
+    def decoded(column: pa.ChunkedArray) -> list[str | None]:
+        return [None if x is None else x.decode("utf-8", "surrogateescape") for x in column.cast(pa.binary()).to_pylist()]
+
+    def run(asked: pa.Table, offered: pa.Table) -> pa.Table:
+        by = pc.sort_indices(offered, [("_first", "ascending"), ("_b_text", "ascending")], null_placement="at_start").to_numpy()
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        who, what = Offered(decoded(offered["_b_text"])).best(decoded(asked["_text"]), rank, n, threshold)
+        found = {**{c: asked[c].take(who) for c in ("pos", "_scope", "_text", "_tile")}, **{c: offered[c].take(what) for c in ("_first", "_b_text")}}
+        return pa.table([found[f.name].cast(f.type) for f in schema], schema)
+
+    return run
+
+
 def _best_of_chunks(questions: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """The n best texts of each chunk of a question's block.
 
-    A chunk of texts is one row, so a question keeps its n best of the chunk where it is scored and no pair is sorted,
-    shuffled or spilled.  Questions are dealt to chunks too, so a large block is scored by many tasks.
+    A chunk of questions meets a chunk of texts in one group, whose pairs are scored in vectors and never are rows: a
+    question keeps its n best of the chunk where it is scored, and a large block is scored by many tasks.
     """
-    asked, asked_counts = _chunked(questions, "_text", "_ask")
+    spark = texts.sparkSession
+    importable(spark)
+    asked, asked_counts = _chunked(questions.filter("_text IS NOT NULL"), "_text", "_ask")
     offered, offered_counts = _chunked(texts, "_b_text", "_tile")
     all_chunks = lambda count, name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)).alias(name)
-    chunks = offered.groupBy("pos", "_scope", "_tile").agg(F.collect_list(F.struct("_b_text", "_first")).alias("_texts"))
-    copies = chunks.join(asked_counts, ["pos", "_scope"]).select("pos", "_scope", "_tile", "_texts", all_chunks("_n_ask", "_ask"))
-    spread = asked.join(offered_counts, ["pos", "_scope"]).select("pos", "_scope", "_text", "_ask", all_chunks("_n_tile", "_tile"))
     on = ["pos", "_scope", "_ask", "_tile"]
-    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = spread.repartition(tasks, *on).join(copies.hint("merge"), on)
-
-    def score(x: Column) -> Column:
-        possible = N.length_bound(N.text_similarity, F.col("_text"), x["_b_text"])
-        return F.when(possible >= threshold - 1e-6, F.round(N.text_similarity(F.col("_text"), x["_b_text"]), 6))
-
-    # The n-th best score is found among plain numbers; only what reaches it is ordered by its first id.
-    scored = met.withColumn("_scores", F.transform("_texts", score))
-    above = F.sort_array(F.filter("_scores", lambda v: v > threshold), asc=False)
-    cut = scored.withColumn("_cut", F.coalesce(F.get(above, F.lit(n - 1)), F.lit(threshold)))
-    reaching = F.filter("_texts", lambda x, i: (F.get("_scores", i) > threshold) & (F.get("_scores", i) >= F.col("_cut")))
-    ordered = F.array_sort(F.transform(reaching, lambda x: F.struct((-score(x)).alias("_low"), x["_first"].alias("_first"), x["_b_text"].alias("_b_text"))))
-    best = cut.select("pos", "_scope", "_text", "_tile", F.inline(F.slice(ordered, 1, n)))
-    return best.select("pos", "_scope", "_text", "_tile", (-F.col("_low")).alias("similarity"), "_first", "_b_text")
+    spread = asked.join(offered_counts, ["pos", "_scope"]).select("pos", "_scope", "_text", "_ask", all_chunks("_n_tile", "_tile"))
+    copies = offered.join(asked_counts, ["pos", "_scope"]).select("pos", "_scope", "_b_text", "_first", "_tile", all_chunks("_n_ask", "_ask"))
+    # a row is small and its work is not, so the number of tasks does not follow from the bytes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([*[spread.schema[c] for c in ("pos", "_scope", "_text", "_tile")], *[texts.schema[c] for c in ("_first", "_b_text")]])
+    score = _best_of_two_chunks(n, threshold, to_arrow_schema(schema))
+    best = spread.repartition(tasks, *on).groupBy(*on).cogroup(copies.repartition(tasks, *on).groupBy(*on)).applyInArrow(score, schema)
+    scored = best.withColumn("similarity", F.round(N.text_similarity(F.col("_text"), F.col("_b_text")), 6))
+    return scored.select("pos", "_scope", "_text", "_tile", "similarity", "_first", "_b_text")
 
 
 def match_candidates(
